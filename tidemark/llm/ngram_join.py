@@ -2,7 +2,8 @@
 
 A document's set holds its distinct n-word shingles. Equal sets are one class from the start. Classes of equal size and equal
 prefix are one group, and only groups meet: by a shared prefix shingle (prefixes under the global rarity order of words.py),
-then by length and position filters. Group pairs expand to their members, whose whole sets are compared.
+then by length and position filters. Group pairs expand to their members; a parity sketch of SKETCH bits, whose differing bits never
+outnumber the differing shingles, rules most pairs out, and the whole sets of the others are compared.
 
 What is asked for is each document's component, so links inside a component need not all be found. Pass one tries, for each
 shared shingle, each group against the first of the run in position order and against its neighbour: linear in the run. Pass
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import in_chunks, parts, small_batches, stored, table, text_bytes, with_ids
 from .components import components
-from .words import bucket, frequency_sketch, mixed, shingle_hashes, word_hashes
+from .words import bucket, frequency_sketch, id_filter, mixed, passes_filter, shingle_hashes, word_hashes
+
+
+SKETCH = 1024
 
 
 def _shingles(size: int):
@@ -42,7 +46,7 @@ def prefix_length(n, percent: int):
 
 
 def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, cls, prefix): set size, 64-bit digest of the set, prefix shingles in rarity order."""
+    """(doc_id, n, cls, sketch, prefix): set size, 64-bit digest and parity sketch of the set, prefix shingles (32 bits) in rarity order."""
     hashes = _shingles(size)
     sketch = frequency_sketch(docs.sparkSession, docs, lambda data, bounds: hashes(data, bounds)[0])
     rarity = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << 31) - 1).astype(np.int32))
@@ -51,16 +55,21 @@ def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
         for batch in batches:
             for chunk in in_chunks(batch, "text"):
                 h, bounds = hashes(*text_bytes(chunk.column("text")))
-                n, cls, prefix = [], [], []
+                n, cls, prefix, sketch = [], [], [], []
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                     s = np.unique(h[a:b])
                     n.append(len(s))
-                    cls.append(int(mixed(np.array([np.add.reduce(mixed(s + np.uint64(1)), dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
+                    cls.append(_class_of(s))
                     p = s[np.argsort(rarity.value[bucket(s)], kind="stable")[: prefix_length(len(s), percent)]] if len(s) else s
-                    prefix.append(p.view(np.int64))
-                yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "cls", "prefix"])
+                    prefix.append((p >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    sketch.append(np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes())
+                yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int32()))], ["doc_id", "n", "cls", "sketch", "prefix"])
+
+    return with_ids(docs, "doc_id", "text").mapInArrow(made, "doc_id long, n long, cls long, sketch binary, prefix array<int>")
 
-    return with_ids(docs, "doc_id", "text").mapInArrow(made, "doc_id long, n long, cls long, prefix array<long>")
+
+def _class_of(s: np.ndarray) -> int:
+    return int(mixed(np.array([np.add.reduce(mixed(s + np.uint64(1)), dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -69,7 +78,7 @@ def _runs(key: np.ndarray) -> np.ndarray:
 
 
 def _columns(batch, names):
-    return [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+    return [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
 
 
 def near_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -121,9 +130,9 @@ def near_pairs(entries: DataFrame, percent: int) -> DataFrame:
             first, last = tuple(int(c[-1]) for c in heads), tuple(int(c[-1]) for c in x)
             cols = [np.concatenate(o) for o in (out_token, out_gid, out_n, out_pos, out_mate)]
             if len(cols[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols[:4]] + [pa.array(cols[4].astype(np.int64), mask=cols[4] == np.iinfo(np.int64).min)], [*names, "mate"])
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols[:4], (np.int32, np.int64, np.int32, np.int32), strict=True)] + [pa.array(cols[4].astype(np.int64), mask=cols[4] == np.iinfo(np.int64).min)], [*names, "mate"])
 
-    return entries.mapInArrow(made, "token long, gid long, n long, pos long, mate long")
+    return entries.mapInArrow(made, "token int, gid long, n int, pos int, mate long")
 
 
 def rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -164,19 +173,42 @@ def rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return entries.mapInArrow(made, "g1 long, c1 long, g2 long, c2 long")
 
 
-def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs(a, b) of classes those whose whole sets are similar enough. reps(cls, rep) names a document of each class."""
+def plausible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(a, b) of classes those whose sketches don't rule them out."""
+
+    def near(batches):
+        for batch in batches:
+            n1, n2 = (batch.column(c).to_numpy() for c in ("n1", "n2"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for c in ("k1", "k2"))
+            most = n1 + n2 - 2 * overlap_needed(n1, n2, percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most))
+
+    one = members.select(F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("k1"))
+    two = members.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("k2"))
+    return pairs.where("a <> b").join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "k1", "k2").mapInArrow(near, "a long, b long")
+
+
+def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of pairs(a, b) of classes those whose whole sets are similar enough. members(cls, rep) names a document of each class.
+
+    Sets are made where documents are read; a bitmap of the wanted ids keeps most of the others from being made and sent.
+    """
     hashes = _shingles(size)
+    pairs = stored(plausible(pairs, members, percent))
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = wanted.join(reps, "cls").select(F.col("rep").alias("rep_"), F.col("cls").alias("cls_"))
+    wanted = members.join(wanted, "cls", "left_semi").select("rep")
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
 
     def sets(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(passes_filter(bits.value, batch.column("doc_id"))))
             for chunk in in_chunks(batch, "text"):
                 h, bounds = hashes(*text_bytes(chunk.column("text")))
-                yield pa.RecordBatch.from_arrays([chunk.column("cls_"), pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["cls", "set"])
+                own = [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in own], pa.int64()), chunk.column("doc_id"), pa.array([s.tobytes() for s in own], pa.binary())], ["cls", "id", "set"])
 
-    found = stored(with_ids(docs, "doc_id", "text").join(wanted, F.col("doc_id") == F.col("rep_")).select("cls_", "text").mapInArrow(sets, "cls long, set binary").dropDuplicates(["cls"]))
+    made = with_ids(docs, "doc_id", "text").mapInArrow(sets, "cls long, id long, set binary")
+    found = stored(made.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi").select("cls", "set"))
 
     def similar(batches):
         for batch in batches:
@@ -198,24 +230,26 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     f = stored(features(docs, size, percent))
-    live = f.where("n > 0 and doc_id is not null")
-    reps = stored(live.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("prefix").alias("prefix")))
+    live = f.where("n > 0 and doc_id is not null").withColumn("key", F.xxhash64("n", "prefix"))
+    reps = live.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("key").alias("key"), F.first("sketch").alias("sketch"))
+    reps = stored(reps)
     # groups: equal size, equal prefix
-    keyed = reps.select("cls", "rep", "n", F.xxhash64("n", "prefix").alias("key"), "prefix")
-    groups = keyed.groupBy("key").agg(F.min("cls").alias("gid"), F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    groups = stored(groups)
-    members = stored(keyed.select("cls", "rep", "key").join(groups.select("key", "gid"), "key").select("cls", "rep", "gid"))
-    entries = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", F.col("n"), F.col("pos").cast("long").alias("pos"))
+    groups = stored(reps.groupBy("key").agg(F.min("rep").alias("gid")))
+    members = stored(reps.join(groups, "key").select("cls", "rep", "gid", "n", "sketch"))
+    heads = stored(members.groupBy("gid").agg(F.min("cls").alias("head")))
+    chosen = live.select("doc_id", "key", "n", "prefix").join(groups.withColumnRenamed("key", "key_"), (F.col("doc_id") == F.col("gid")) & (F.col("key") == F.col("key_")))
+    entries = chosen.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", F.col("n").cast("int").alias("n"), "pos")
     entries = entries.repartition(parts(spark), "token").sortWithinPartitions("token", "pos", "n", "gid")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     shared = stored(near_pairs(entries, percent))
     small_batches(spark)
-    first = shared.where("mate is not null").select(F.least("gid", "mate").alias("a"), F.greatest("gid", "mate").alias("b"))
-    inside = members.where("cls <> gid").select(F.least("cls", "gid").alias("a"), F.greatest("cls", "gid").alias("b"))
-    links = stored(verified(docs, reps, first.unionByName(inside).distinct(), size, percent))
+    first = shared.where("mate is not null and mate <> gid").select(F.least("gid", "mate").alias("g1"), F.greatest("gid", "mate").alias("g2")).distinct()
+    first = first.join(heads.select(F.col("gid").alias("g1"), F.col("head").alias("a")), "g1").join(heads.select(F.col("gid").alias("g2"), F.col("head").alias("b")), "g2").select("a", "b")
+    inside = members.join(heads, "gid").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
+    links = stored(verified(docs, members, first.unionByName(inside), size, percent))
     comp = stored(components(links))
     # pass two: groups by component, every candidate pair that still crosses components
-    placed = members.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "gid", F.coalesce("component", "cls").alias("comp"))
+    placed = members.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "rep", "gid", F.coalesce("component", "cls").alias("comp"))
     placed = stored(placed)
     runs = shared.select("token", "gid", "n", "pos").distinct().join(placed.select("gid", "comp").distinct(), "gid").select("token", "gid", "comp", "n", "pos")
     runs = stored(runs)
@@ -230,11 +264,11 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     wide = found.unionByName(same)
     m1 = placed.select(F.col("cls").alias("a"), F.col("gid").alias("g1"), F.col("comp").alias("c1"))
     m2 = placed.select(F.col("cls").alias("b"), F.col("gid").alias("g2"), F.col("comp").alias("c2"))
-    more = verified(docs, reps, wide.join(m1, ["g1", "c1"]).join(m2, ["g2", "c2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), size, percent)
+    more = verified(docs, members, wide.join(m1, ["g1", "c1"]).join(m2, ["g2", "c2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), size, percent)
     # components are bridged by their labels
     bridge = more.join(placed.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(placed.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     over = components(bridge).select(F.col("node").alias("comp"), F.col("component").alias("top"))
-    final = placed.join(over, "comp", "left").select("cls", F.coalesce("top", "comp").alias("comp")).join(reps.select("cls", "rep"), "cls")
+    final = placed.join(over, "comp", "left").select("cls", "rep", F.coalesce("top", "comp").alias("comp"))
     least = final.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = final.join(least, "comp").select(F.col("cls").alias("cls_"), "component_id")
     return f.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(named, F.when(F.col("n_shingles") > 0, F.col("cls")) == F.col("cls_"), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -117,3 +117,43 @@ def frequency_sketch(spark: SparkSession, docs: DataFrame, hashes_of) -> np.ndar
     for row in made.collect():
         out[row["slice"]] = np.frombuffer(row["counts"], np.int64)
     return out.reshape(-1)
+
+
+FILTER_BITS = 23
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """One column of longs -> a bitmap of 2 ** FILTER_BITS bits, the same size for any number of ids. A clear bit rules an id out;
+    a set bit rules nothing in, so what passes is joined exactly afterwards."""
+    name = ids.columns[0]
+    width = (1 << FILTER_BITS) // 8 // SLICES
+
+    def mark(batches):
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            x = batch.column(0).drop_null().to_numpy()
+            bits[filter_place(x)] = True
+        if bits.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.packbits(bits).reshape(SLICES, width)], pa.binary())], ["slice", "bits"])
+
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, np.uint8)
+        for batch in batches:
+            for x in batch.column("bits"):
+                total |= np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "bits"])
+
+    out = np.zeros((SLICES, width), np.uint8)
+    for row in ids.select(name).mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary").collect():
+        out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def filter_place(ids: np.ndarray) -> np.ndarray:
+    return (mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def passes_filter(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """Which of a column's ids the bitmap doesn't rule out; nulls are."""
+    at = filter_place(ids.fill_null(0).to_numpy())
+    return ((bits[at >> 3] >> (7 - (at & 7))) & 1).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
