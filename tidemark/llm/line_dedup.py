@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_chunks, parts, small_batches, stored, table, text_bytes, with_ids
-from .words import bucket, frequency_sketch, mixed, word_hashes
+from .words import frequency_sketch, id_filter, mixed, passes_filter, word_hashes
 
 PERCENT = 80
 SMALL = 16
@@ -200,26 +200,32 @@ def candidates(sorted_entries: DataFrame, percent: int) -> DataFrame:
     return sorted_entries.mapInArrow(made, "kind int, doc long, line int, doc2 long, line2 int, token int")
 
 
+def line_id(doc: str, line: str):
+    """A long that stands for a line in a bitmap; unlike lines may share one."""
+    return F.expr(f"pmod({doc}, {1 << 40}L) * 1000003L + {line}").alias("id")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Of pairs (doc, line, doc2, line2) the (doc, line) whose whole sets are similar enough."""
-    wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("line2").alias("line"))).distinct().groupBy("doc").agg(F.collect_list("line").alias("lines"))
+    lines = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("line2").alias("line"))).distinct()
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(lines.select(line_id("doc", "line"))))
 
     def sets(batches):
         for batch in batches:
-            doc, line, got = [], [], []
-            for k in range(batch.num_rows):
-                data, bounds = text_bytes(batch.column("text").slice(k, 1))
-                start, _, _ = line_bounds(data, bounds)
+            for chunk in in_chunks(batch, "text", 1 << 19):
+                data, bounds = text_bytes(chunk.column("text"))
+                start, of, number = line_bounds(data, bounds)
+                ids = chunk.column("doc_id").take(pa.array(of))
+                keep = np.flatnonzero(passes_filter(bits.value, pa.array(ids.to_numpy() % (1 << 40) * 1_000_003 + number)))
+                if not len(keep):
+                    continue
                 edges = np.append(start, len(data))
-                for w in batch.column("lines")[k].as_py():
-                    if w + 1 < len(edges):
-                        piece = data[edges[w] : edges[w + 1]]
-                        doc.append(batch.column("doc_id")[k].as_py())
-                        line.append(w)
-                        got.append(np.unique(word_hashes(piece, np.array([0, len(piece)]))[0]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(got, pa.binary())], ["d", "l", "set"])
-
-    found = stored(with_ids(docs, "doc_id", "text").join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "lines").mapInArrow(sets, "d long, l int, set binary").dropDuplicates(["d", "l"]))
+                h, _, line = word_hashes(data, edges)
+                a, b = np.searchsorted(line, keep), np.searchsorted(line, keep, "right")
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)), pa.array(number[keep].astype(np.int32)), pa.array([np.unique(h[x:y]).tobytes() for x, y in zip(a, b, strict=True)], pa.binary())], ["doc", "line", "set"])
+
+    made = with_ids(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(sets, "doc long, line int, set binary")
+    found = stored(made.join(lines, ["doc", "line"], "left_semi").select(F.col("doc").alias("d"), F.col("line").alias("l"), "set"))
 
     def similar(batches):
         for batch in batches:
