@@ -6,7 +6,7 @@ then by length and position filters. Group pairs expand to their members; a pari
 outnumber the differing shingles, rules most pairs out, and the whole sets of the others are compared.
 
 What is asked for is each document's component, so links inside a component need not all be found. Pass one tries, for each
-shared shingle, each group against the first of the run in position order and against its neighbour: linear in the run. Pass
+shared shingle, each group against one or two hubs of that shingle: linear in the entries. Pass
 two tries every remaining candidate pair whose members are in different components; after it no link is missing.
 
 Edge cases: null or empty texts, or texts of white space, have size 0 and are linked with nothing; null ids keep a row with a
@@ -47,20 +47,22 @@ def prefix_length(n, percent: int):
 
 def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, n, cls, sketch, prefix): set size, 64-bit digest and parity sketch of the set, prefix shingles (32 bits) in rarity order."""
-    hashes = _shingles(size)
-    sketch = frequency_sketch(docs.sparkSession, docs, lambda data, bounds: hashes(data, bounds)[0])
-    rarity = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << 31) - 1).astype(np.int32))
+    sketch = frequency_sketch(docs.sparkSession, docs, lambda data, bounds: word_hashes(data, bounds)[0])
+    rarity = docs.sparkSession.sparkContext.broadcast(np.log2(sketch + 1.0).astype(np.float32))
 
     def made(batches):
         for batch in batches:
             for chunk in in_chunks(batch, "text"):
-                h, bounds = hashes(*text_bytes(chunk.column("text")))
+                data, texts = text_bytes(chunk.column("text"))
+                w, _, of = word_hashes(data, texts)
+                h, bounds = shingle_hashes(w, of, len(texts) - 1, size)
+                common = _commonness(rarity.value[bucket(w)], of, len(texts) - 1, size)
                 n, cls, prefix, sketch = [], [], [], []
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    s = np.unique(h[a:b])
+                    s, at = np.unique(h[a:b], return_index=True)
                     n.append(len(s))
                     cls.append(_class_of(s))
-                    p = s[np.argsort(rarity.value[bucket(s)], kind="stable")[: prefix_length(len(s), percent)]] if len(s) else s
+                    p = s[np.argsort(common[a:b][at], kind="stable")[: prefix_length(len(s), percent)]] if len(s) else s
                     prefix.append((p >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     sketch.append(np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes())
                 yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int32()))], ["doc_id", "n", "cls", "sketch", "prefix"])
@@ -68,6 +70,16 @@ def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return with_ids(docs, "doc_id", "text").mapInArrow(made, "doc_id long, n long, cls long, sketch binary, prefix array<int>")
 
 
+def _commonness(level: np.ndarray, of: np.ndarray, n_texts: int, size: int) -> np.ndarray:
+    """Of each shingle, in whole steps, the sum of its words' log counts: a function of the shingle alone, and so part of a total
+    order; shingles of rare words come first, and nearly all of those are rare, however large the corpus."""
+    counts = np.bincount(of, minlength=n_texts) if len(of) else np.zeros(n_texts, np.int64)
+    made = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
+    begin = np.repeat(np.cumsum(counts) - counts, made) + (np.arange(made.sum()) - np.repeat(np.cumsum(made) - made, made))
+    steps = np.concatenate([[0], np.cumsum((level * 16).astype(np.int64))])
+    return steps[begin + np.repeat(np.minimum(counts, size), made)] - steps[begin]
+
+
 def _class_of(s: np.ndarray) -> int:
     return int(mixed(np.array([np.add.reduce(mixed(s + np.uint64(1)), dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
@@ -81,58 +93,51 @@ def _columns(batch, names):
     return [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
 
 
-def near_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Entries (token, gid, n, pos), sorted by token and position within partitions -> (shared, token, gid, n, pos, mate).
-
-    Streams: of a run only its first entry and the last one seen are kept. mate is null or another group to compare with.
-    """
-
-    def fits(n1, p1, n2, p2):
-        rest = 1 + np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2) - 1
-        return (np.minimum(n1, n2) * 100 >= percent * np.maximum(n1, n2)) & (rest >= overlap_needed(n1, n2, percent))
+def shared_entries(entries: DataFrame) -> DataFrame:
+    """Entries (token, gid, n, pos), sorted by token within partitions -> those whose token has another entry. Streams."""
+    names = ("token", "gid", "n", "pos")
 
     def made(batches):
-        names = ("token", "gid", "n", "pos")
-        first = last = None
-        waits = False  # the last entry seen opened a run and isn't out yet
+        held = None  # the last entry seen, and whether the one before it has its token
         for batch in batches:
-            x = _columns(batch, names)
-            if not len(x[0]):
+            if not batch.num_rows:
                 continue
-            new = np.ones(len(x[0]), bool)
-            new[1:] = x[0][1:] != x[0][:-1]
-            if last is not None and last[0] == x[0][0]:
-                new[0] = False
-            at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-            heads = [np.where(at < 0, first[k] if first else 0, c[at]) for k, c in enumerate(x)]
-            before = [np.concatenate([[last[k] if last else 0], c[:-1]]) for k, c in enumerate(x)]
-            out_token, out_gid, out_n, out_pos, out_mate = [], [], [], [], []
-
-            def put(mask, mate, x=x, o=(out_token, out_gid, out_n, out_pos, out_mate)):
-                for k, c in enumerate((*x, mate)):
-                    o[k].append(np.asarray(c)[mask])
-
-            inner = ~new
-            ok = inner & fits(x[2], x[3], heads[2], heads[3])
-            put(ok, heads[1])
-            ok2 = inner & (before[1] != heads[1]) & fits(x[2], x[3], before[2], before[3])
-            put(ok2, before[1])
-            put(inner & ~ok & ~ok2, np.zeros(len(new), np.int64) + np.iinfo(np.int64).min)
-            # heads of runs that have a second entry
-            follows = np.flatnonzero(inner[1:] & new[:-1]) if len(new) > 1 else np.zeros(0, int)
-            mask = np.zeros(len(new), bool)
-            mask[follows] = True
-            put(mask, np.zeros(len(new), np.int64) + np.iinfo(np.int64).min)
-            if waits and not new[0]:
-                for o, v in zip((out_token, out_gid, out_n, out_pos, out_mate), (*last, np.iinfo(np.int64).min), strict=True):
-                    o.append(np.array([v], np.int64))
-            waits = bool(new[-1])
-            first, last = tuple(int(c[-1]) for c in heads), tuple(int(c[-1]) for c in x)
-            cols = [np.concatenate(o) for o in (out_token, out_gid, out_n, out_pos, out_mate)]
-            if len(cols[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols[:4], (np.int32, np.int64, np.int32, np.int32), strict=True)] + [pa.array(cols[4].astype(np.int64), mask=cols[4] == np.iinfo(np.int64).min)], [*names, "mate"])
-
-    return entries.mapInArrow(made, "token int, gid long, n int, pos int, mate long")
+            batch = batch.select(names)
+            token = batch.column("token").to_numpy()
+            same = token[1:] == token[:-1]
+            before = bool(held is not None and held[0].column("token")[0].as_py() == token[0])
+            if held is not None and (held[1] or before):
+                yield held[0]
+            multi = np.zeros(len(token), bool)
+            multi[1:] |= same
+            multi[:-1] |= same
+            multi[0] |= before
+            last = bool(multi[-1])
+            multi[-1] = False  # goes out with the next batch, or at the end
+            yield batch.filter(pa.array(multi))
+            held = (batch.slice(len(token) - 1, 1), last)
+        if held is not None and held[1]:
+            yield held[0]
+
+    return entries.mapInArrow(made, "token int, gid long, n int, pos int")
+
+
+def hub_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """Each entry with its token's hub: the group that shares the most of its prefix, so that near copies of one text meet in one
+    hub under nearly all their tokens. Linear in the entries; hubs come from a pre-aggregation by token."""
+    central = shared.groupBy("gid").agg((F.count("*") / F.max("n")).alias("central")).withColumnRenamed("gid", "gid_")
+    ranked = shared.join(central, F.col("gid") == F.col("gid_")).select("token", "gid", "n", "pos", "central")
+    hub = ranked.groupBy(F.col("token").alias("token_")).agg(F.max_by(F.struct("gid", "n", "pos"), F.struct("central", F.negative("gid"))).alias("hub"), F.min_by(F.struct("gid", "n", "pos"), "gid").alias("low"))
+    met = shared.join(hub, F.col("token") == F.col("token_"))
+    need = lambda n: F.ceil(F.lit(percent) * (F.col("n") + n) / F.lit(100 + percent) - 1e-9)
+
+    def fits(x: str):
+        n, pos = F.col(f"{x}.n"), F.col(f"{x}.pos")
+        return (F.col("gid") != F.col(f"{x}.gid")) & (F.least(F.col("n"), n) * 100 >= percent * F.greatest(F.col("n"), n)) & (F.least(F.col("pos"), pos) + F.least(F.col("n") - F.col("pos"), n - pos) >= need(n))
+
+    mates = F.array_distinct(F.array_compact(F.array(F.when(fits("hub"), F.col("hub.gid")), F.when(fits("low"), F.col("low.gid")))))
+    met = met.select("gid", mates.alias("mates")).distinct().select("gid", F.explode("mates").alias("mate"))
+    return met.select(F.least("gid", "mate").alias("g1"), F.greatest("gid", "mate").alias("g2")).distinct()
 
 
 def rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -239,11 +244,11 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     heads = stored(members.groupBy("gid").agg(F.min("cls").alias("head")))
     chosen = live.select("doc_id", "key", "n", "prefix").join(groups.withColumnRenamed("key", "key_"), (F.col("doc_id") == F.col("gid")) & (F.col("key") == F.col("key_")))
     entries = chosen.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", F.col("n").cast("int").alias("n"), "pos")
-    entries = entries.repartition(parts(spark), "token").sortWithinPartitions("token", "pos", "n", "gid")
+    entries = entries.repartition(parts(spark), "token").sortWithinPartitions("token")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    shared = stored(near_pairs(entries, percent))
+    shared = stored(shared_entries(entries))
     small_batches(spark)
-    first = shared.where("mate is not null and mate <> gid").select(F.least("gid", "mate").alias("g1"), F.greatest("gid", "mate").alias("g2")).distinct()
+    first = hub_pairs(shared, percent)
     first = first.join(heads.select(F.col("gid").alias("g1"), F.col("head").alias("a")), "g1").join(heads.select(F.col("gid").alias("g2"), F.col("head").alias("b")), "g2").select("a", "b")
     inside = members.join(heads, "gid").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
     links = stored(verified(docs, members, first.unionByName(inside), size, percent))
