@@ -2,8 +2,8 @@
 
 A line's set holds its distinct lower-cased words. A line goes if some line before it, in order of (doc_id, line number), has
 Jaccard similarity of `percent` hundredths or more, whether or not that one stays. Tokens are ordered by rarity; a line is
-indexed under its prefix; lines that share a prefix token meet if the length and position filters and a 64-bit parity sketch
-(whose differing bits never outnumber the differing tokens) allow it; what remains is verified on whole sets.
+indexed under its prefix; lines that share a prefix token meet if the length and position filters and a parity sketch
+(whose differing bits never outnumber the differing tokens; 64 bits, four times as many for lines of LONG words) allow it; what remains is verified on whole sets.
 
 Equal sets collapse while a token's sorted run streams by: their first line alone stays in the run, the others are removed at
 once. In a run of over SMALL lines each line takes its BEST nearest earlier ones first; a line that had more and isn't removed
@@ -16,6 +16,8 @@ loses all its lines becomes empty; empty tables give empty results; other column
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +29,9 @@ from .words import frequency_sketch, id_filter, mixed, passes_filter, word_hashe
 PERCENT = 80
 SMALL = 16
 BEST = 8
+LONG = 100
 _LINES = 1 << 16
+_SKETCH = ("s0", "s1", "s2", "s3")
 
 
 def line_bounds(data: np.ndarray, bounds: np.ndarray):
@@ -46,7 +50,7 @@ def needed(n1, n2, percent):
 
 
 def index_entries(data: np.ndarray, bounds: np.ndarray, level: np.ndarray, percent: int):
-    """Prefix entries of all lines: text, line number, token, sig, sketch, n, pos."""
+    """Prefix entries of all lines: text, line number, token, sig, four words of sketch, n, pos."""
     start, of, number = line_bounds(data, bounds)
     h, _, line = word_hashes(data, np.append(start, len(data)))
     out = []
@@ -60,7 +64,10 @@ def index_entries(data: np.ndarray, bounds: np.ndarray, level: np.ndarray, perce
         begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         n = np.diff(np.append(begin, len(at)))
         sig = mixed(np.add.reduceat(mixed(token), begin) + n.astype(np.uint64))
-        sketch = np.bitwise_xor.reduceat(np.uint64(1) << (token & np.uint64(63)), begin)
+        bit, part = np.uint64(1) << (token & np.uint64(63)), (token >> np.uint64(6)) & np.uint64(3)
+        parts_ = [np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), begin) for k in range(4)]
+        # short lines have one word of sketch, the four folded together
+        parts_ = [np.where(n >= LONG, parts_[0], parts_[0] ^ parts_[1] ^ parts_[2] ^ parts_[3]), *[np.where(n >= LONG, x, np.uint64(0)) for x in parts_[1:]]]
         y = np.sort((at.astype(np.uint64) << np.uint64(48)) | (level[(token >> np.uint64(30)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (token >> np.uint64(8)))
         size = n - (-(-percent * n // 100)) + 1
         # sets of fewer than k words, where no other size and no other set is similar enough, are found as equals only
@@ -69,7 +76,7 @@ def index_entries(data: np.ndarray, bounds: np.ndarray, level: np.ndarray, perce
         pick = np.repeat(begin, size) + pos
         own = np.repeat(np.arange(len(n)), size)
         where = at[begin][own] + l0
-        out.append((of[where], number[where], y[pick].astype(np.uint32).view(np.int32), sig[own], sketch[own], n[own], pos))
+        out.append((of[where], number[where], y[pick].astype(np.uint32).view(np.int32), sig[own], *[x[own] for x in parts_], n[own], pos))
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else None
 
 
@@ -84,12 +91,12 @@ def entries(docs: DataFrame, percent: int) -> DataFrame:
                 got = index_entries(*text_bytes(chunk.column("text")), rarity.value, percent)
                 if got is None:
                     continue
-                of, number, token, sig, sketch, n, pos = got
+                of, number, token, sig, *sketch, n, pos = got
                 for a in range(0, len(of), 50_000):
                     s = slice(a, a + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(token[s]), pa.array(sig[s].view(np.int64)), chunk.column("doc_id").take(pa.array(of[s])), pa.array(number[s].astype(np.int32)), pa.array(n[s].astype(np.int32)), pa.array(pos[s].astype(np.int32)), pa.array(sketch[s].view(np.int64))], ["token", "sig", "doc", "line", "n", "pos", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(token[s]), pa.array(sig[s].view(np.int64)), chunk.column("doc_id").take(pa.array(of[s])), pa.array(number[s].astype(np.int32)), pa.array(n[s].astype(np.int32)), pa.array(pos[s].astype(np.int32)), *[pa.array(x[s].view(np.int64)) for x in sketch]], ["token", "sig", "doc", "line", "n", "pos", *_SKETCH])
 
-    return with_ids(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(made, "token int, sig long, doc long, line int, n int, pos int, sketch long")
+    return with_ids(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(made, "token int, sig long, doc long, line int, n int, pos int, s0 long, s1 long, s2 long, s3 long")
 
 
 def _meets(x, i, j, percent):
@@ -100,6 +107,16 @@ def _meets(x, i, j, percent):
     return ok, n1 + n2 - 2 * need
 
 
+def _apart(x, i, j):
+    """Differing bits of two lines' sketches."""
+    far = np.bitwise_count(x["fold"][i] ^ x["fold"][j]).astype(np.int64)
+    both = np.flatnonzero((x["n"][i] >= LONG) & (x["n"][j] >= LONG))
+    if len(both):
+        a, b = i[both], j[both]
+        far[both] = sum(np.bitwise_count(x[c][a] ^ x[c][b]).astype(np.int64) for c in _SKETCH)
+    return far
+
+
 def _earlier(x, i, j):
     """True where line i comes before line j."""
     return (x["doc"][i] < x["doc"][j]) | ((x["doc"][i] == x["doc"][j]) & (x["line"][i] < x["line"][j]))
@@ -108,7 +125,7 @@ def _earlier(x, i, j):
 def candidates(sorted_entries: DataFrame, percent: int) -> DataFrame:
     """Entries sorted by token, sig, doc, line -> kind 0: (doc, line) equals an earlier line; 1: compare with (doc2, line2);
     2: more than BEST candidates under token."""
-    names = ("token", "sig", "doc", "line", "n", "pos", "sketch")
+    names = ("token", "sig", "doc", "line", "n", "pos", *_SKETCH)
 
     def batch_of(kind, doc, line, doc2=None, line2=None, token=None):
         z = np.zeros(len(doc), np.int64)
@@ -136,7 +153,7 @@ def candidates(sorted_entries: DataFrame, percent: int) -> DataFrame:
                 break
             ok, most = _meets(x, i, j, percent)
             i, j, most = i[ok], j[ok], most[ok]
-            ok = np.bitwise_count(x["sketch"][i] ^ x["sketch"][j]) <= most
+            ok = _apart(x, i, j) <= most
             if ok.any():
                 yield pairs(x, i[ok], j[ok])
         for r in np.flatnonzero(size > SMALL):
@@ -152,13 +169,14 @@ def candidates(sorted_entries: DataFrame, percent: int) -> DataFrame:
             best: list = []
             for b in range(int(lo), int(hi), 8192):
                 f = min(int(hi), b + 8192)
-                far = np.bitwise_count(x["sketch"][a:e, None] ^ x["sketch"][None, b:f])
+                far = np.bitwise_count(x["fold"][a:e, None] ^ x["fold"][None, b:f])
                 i, j = np.nonzero(far <= (n[e - 1] + n[f - 1]) * (100 - percent) // (100 + percent))
-                d = far[i, j]
                 i, j = i + a, j + b
                 ok, most = _meets(x, i, j, percent)
-                ok &= (d <= most) & _earlier(x, j, i)
-                if ok.any():
+                ok &= _earlier(x, j, i)
+                i, j, most = i[ok], j[ok], most[ok]
+                d = _apart(x, i, j)
+                if (ok := d <= most).any():
                     best.append((i[ok], j[ok], d[ok]))
             if not best:
                 continue
@@ -176,7 +194,8 @@ def candidates(sorted_entries: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             x = {c: batch.column(c).to_numpy() for c in names}
-            x["sketch"] = x["sketch"].view(np.uint64)
+            x |= {c: x[c].view(np.uint64) for c in _SKETCH}
+            x["fold"] = x["s0"] ^ x["s1"] ^ x["s2"] ^ x["s3"]
             again = np.zeros(batch.num_rows, bool)
             again[1:] = (x["token"][1:] == x["token"][:-1]) & (x["sig"][1:] == x["sig"][:-1])
             again[0] = (x["token"][0], x["sig"][0]) == last
@@ -187,7 +206,7 @@ def candidates(sorted_entries: DataFrame, percent: int) -> DataFrame:
             size += int((~again).sum())
             if size < 100_000:
                 continue
-            x = {c: np.concatenate([h[c] for h in held]) for c in names}
+            x = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
             cut = int(np.searchsorted(x["token"], x["token"][-1]))
             if cut:
                 yield from whole({c: v[:cut] for c, v in x.items()})
@@ -195,7 +214,7 @@ def candidates(sorted_entries: DataFrame, percent: int) -> DataFrame:
             if not cut:
                 size = 0  # a long run: look again when as much has come on top
         if held:
-            yield from whole({c: np.concatenate([h[c] for h in held]) for c in names})
+            yield from whole({c: np.concatenate([h[c] for h in held]) for c in held[0]})
 
     return sorted_entries.mapInArrow(made, "kind int, doc long, line int, doc2 long, line2 int, token int")
 
@@ -258,11 +277,13 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not found.where("kind = 2").isEmpty():
         gone = stored(gone)
         over = found.where("kind = 2").select("doc", "line", "token").distinct().join(gone, ["doc", "line"], "left_anti")
-        late = stored(over.join(all_entries.select("doc", "line", "token", "n", "pos", "sketch"), ["doc", "line", "token"]))
+        late = stored(over.join(all_entries.select("doc", "line", "token", "n", "pos", *_SKETCH), ["doc", "line", "token"]))
         if not late.isEmpty():
-            firsts = all_entries.join(equal, ["doc", "line"], "left_anti").select("token", F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("sketch").alias("sketch2"))
+            firsts = all_entries.join(equal, ["doc", "line"], "left_anti").select("token", F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), *[F.col(c).alias(f"{c}b") for c in _SKETCH])
+            folded = lambda b: reduce(lambda x, y: x.bitwiseXOR(y), [F.col(c + b) for c in _SKETCH])
+            apart = F.when((F.col("n") >= LONG) & (F.col("n2") >= LONG), sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}b"))) for c in _SKETCH[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col("s0b"))))).otherwise(F.bit_count(folded("").bitwiseXOR(folded("b"))))
             need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / (100 + percent) - 1e-9)
-            near = late.join(firsts, "token").where("doc2 < doc or (doc2 = doc and line2 < line)").where(f"least(n, n2) * 100 >= {percent} * greatest(n, n2)").where(F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch2"))) <= F.col("n") + F.col("n2") - 2 * need).where(F.least("pos", "pos2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
+            near = late.join(firsts, "token").where("doc2 < doc or (doc2 = doc and line2 < line)").where(f"least(n, n2) * 100 >= {percent} * greatest(n, n2)").where(apart <= F.col("n") + F.col("n2") - 2 * need).where(F.least("pos", "pos2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
             gone = gone.unionByName(verified(docs, stored(near.select("doc", "line", "doc2", "line2").distinct()), percent)).distinct()
     return gone.groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
