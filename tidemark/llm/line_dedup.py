@@ -16,8 +16,6 @@ loses all its lines becomes empty; empty tables give empty results; other column
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +47,7 @@ def needed(n1, n2, percent):
     return -((-percent * (n1 + n2)) // (100 + percent))
 
 
-def index_entries(data: np.ndarray, bounds: np.ndarray, level: np.ndarray, percent: int):
+def index_entries(data: np.ndarray, bounds: np.ndarray, level: np.ndarray, percent: int, long: int = LONG):
     """Prefix entries of all lines: text, line number, token, sig, four words of sketch, n, pos."""
     start, of, number = line_bounds(data, bounds)
     h, _, line = word_hashes(data, np.append(start, len(data)))
@@ -67,7 +65,7 @@ def index_entries(data: np.ndarray, bounds: np.ndarray, level: np.ndarray, perce
         bit, part = np.uint64(1) << (token & np.uint64(63)), (token >> np.uint64(6)) & np.uint64(3)
         parts_ = [np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), begin) for k in range(4)]
         # short lines have one word of sketch, the four folded together
-        parts_ = [np.where(n >= LONG, parts_[0], parts_[0] ^ parts_[1] ^ parts_[2] ^ parts_[3]), *[np.where(n >= LONG, x, np.uint64(0)) for x in parts_[1:]]]
+        parts_ = [np.where(n >= long, parts_[0], parts_[0] ^ parts_[1] ^ parts_[2] ^ parts_[3]), *[np.where(n >= long, x, np.uint64(0)) for x in parts_[1:]]]
         y = np.sort((at.astype(np.uint64) << np.uint64(48)) | (level[(token >> np.uint64(30)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (token >> np.uint64(8)))
         size = n - (-(-percent * n // 100)) + 1
         # sets of fewer than k words, where no other size and no other set is similar enough, are found as equals only
@@ -80,15 +78,20 @@ def index_entries(data: np.ndarray, bounds: np.ndarray, level: np.ndarray, perce
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else None
 
 
-def entries(docs: DataFrame, percent: int) -> DataFrame:
+def rarity_levels(docs: DataFrame):
+    """Broadcast: a step of log count for each bucket of words."""
     counts = frequency_sketch(docs.sparkSession, docs, lambda data, bounds: word_hashes(data, bounds)[0])
     level = np.minimum(255, np.log2(counts + 1.0) * 6).astype(np.uint8)
-    rarity = docs.sparkSession.sparkContext.broadcast(level)
+    return docs.sparkSession.sparkContext.broadcast(level)
+
+
+def entries(docs: DataFrame, percent: int, rarity, long: int = LONG) -> DataFrame:
+    """Prefix entries of all lines; lines of `long` words and more have four words of sketch."""
 
     def made(batches):
         for batch in batches:
             for chunk in in_chunks(batch, "text", 1 << 19):
-                got = index_entries(*text_bytes(chunk.column("text")), rarity.value, percent)
+                got = index_entries(*text_bytes(chunk.column("text")), rarity.value, percent, long)
                 if got is None:
                     continue
                 of, number, token, sig, *sketch, n, pos = got
@@ -266,7 +269,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, lines): numbers of the lines to remove, from 0, per document that loses any."""
     spark = docs.sparkSession
     small_batches(spark)
-    all_entries = entries(docs, percent)
+    rarity = rarity_levels(docs)
+    all_entries = entries(docs, percent, rarity)
     dealt = all_entries.repartition(parts(spark), "token").sortWithinPartitions("token", "sig", "doc", "line")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     found = stored(candidates(dealt, percent))
@@ -277,11 +281,11 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not found.where("kind = 2").isEmpty():
         gone = stored(gone)
         over = found.where("kind = 2").select("doc", "line", "token").distinct().join(gone, ["doc", "line"], "left_anti")
-        late = stored(over.join(all_entries.select("doc", "line", "token", "n", "pos", *_SKETCH), ["doc", "line", "token"]))
+        wide = entries(docs, percent, rarity, 0)  # few lines come here: full sketches for all
+        late = stored(over.join(wide.select("doc", "line", "token", "n", "pos", *_SKETCH), ["doc", "line", "token"]))
         if not late.isEmpty():
-            firsts = all_entries.join(equal, ["doc", "line"], "left_anti").select("token", F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), *[F.col(c).alias(f"{c}b") for c in _SKETCH])
-            folded = lambda b: reduce(lambda x, y: x.bitwiseXOR(y), [F.col(c + b) for c in _SKETCH])
-            apart = F.when((F.col("n") >= LONG) & (F.col("n2") >= LONG), sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}b"))) for c in _SKETCH[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col("s0b"))))).otherwise(F.bit_count(folded("").bitwiseXOR(folded("b"))))
+            firsts = wide.join(late.select("token").distinct(), "token", "left_semi").join(equal, ["doc", "line"], "left_anti").select("token", F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), *[F.col(c).alias(f"{c}b") for c in _SKETCH])
+            apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}b"))) for c in _SKETCH[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col("s0b"))))
             need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / (100 + percent) - 1e-9)
             near = late.join(firsts, "token").where("doc2 < doc or (doc2 = doc and line2 < line)").where(f"least(n, n2) * 100 >= {percent} * greatest(n, n2)").where(apart <= F.col("n") + F.col("n2") - 2 * need).where(F.least("pos", "pos2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
             gone = gone.unionByName(verified(docs, stored(near.select("doc", "line", "doc2", "line2").distinct()), percent)).distinct()
