@@ -17,64 +17,84 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
+#: A power of two.
 WINDOW = 8
 LITERALS = 5
+#: Words of a block.
+BLOCK = 512
 #: A benchmark over this many windows is joined by shuffle instead of a broadcast.
 BROADCAST_WINDOWS = 200_000
 #: Fixed unit words that follow a number.
 UNITS = ("mm", "cm", "km", "kg", "mg", "lb", "oz", "ml", "mph", "kmh", "meters", "metres", "miles", "feet", "inches", "grams", "kilograms", "pounds", "litres", "liters", "seconds", "minutes", "hours", "days", "weeks", "months", "years", "dollars", "euros", "cents", "percent")
-_NAME = r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})"
+# each pattern begins with the character that is rare, and looks behind it afterwards
+_NAME = r" (?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})"
 _PUNCT = r"[^\p{L}\p{M}\p{N}\s\x01]+"
 
 
 def raw_words(text: str = "text"):
     """Words, names with a leading \\x01."""
-    t = F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), _NAME, "\x01"))
+    t = F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), _NAME, " \x01"))
     # digits grouped by points or commas are one number
-    t = F.regexp_replace(t, r"(?<=\p{N})[.,](?=\p{N})", "")
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, _PUNCT, ""), r"\s+", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    t = F.regexp_replace(t, r"[.,](?<=\p{N}[.,])(?=\p{N})", "")
+    return F.array_remove(F.split(F.regexp_replace(t, _PUNCT, ""), r"\s+"), "")
 
 
 def template_words(raw):
     """Template of joined raw words: the same number of words, slots replaced. Nothing is done where there is no slot."""
     joined = F.array_join(raw, " ")
     units = "|".join(UNITS)
-    out = F.regexp_replace(joined, r"(?<![^ ])\x01[^ ]+", "&")
-    out = F.regexp_replace(out, rf"(?<![^ ])(\p{{N}}+) (?:{units})(?![^ ])", "# @")
-    out = F.regexp_replace(out, rf"(?<![^ ])\p{{N}}+(?:{units})?(?![^ ])", "#")
+    out = F.regexp_replace(joined, r"\x01(?<![^ ]\x01)[^ ]+", "&")
+    out = F.regexp_replace(out, rf"\p{{N}}(?<![^ ]\p{{N}})\p{{N}}* (?:{units})(?![^ ])", "# @")
+    out = F.regexp_replace(out, rf"\p{{N}}(?<![^ ]\p{{N}})\p{{N}}*(?:{units})?(?![^ ])", "#")
     return F.when(F.rlike(joined, F.lit(r"[\x01\p{N}]")), F.split(out, " ")).otherwise(raw)
 
 
-def windows(rows: DataFrame, key: str, extra: list[str] = ()) -> DataFrame:
-    """(key, text) -> a row per window: key, pos, n, tpl, raw (hashes), slots (their words)."""
-    r = rows.select(F.col(key), *extra, raw_words().alias("w")).where(F.size("w") > 0)
-    r = r.withColumn("t", template_words(F.col("w")))
-    slot = lambda x: x.isin("#", "@", "&")
-    r = r.withColumn("at", F.filter(F.transform("t", lambda x, i: F.when(slot(x), i).otherwise(-1)), lambda i: i >= 0))
-    r = r.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x))).withColumn("th", F.when(F.size("at") > 0, F.transform("t", lambda x: F.xxhash64(x))).otherwise(F.col("wh")))
-    n = F.least(F.size("w"), F.lit(WINDOW))
-    inside = lambda i: F.filter(F.col("at"), lambda p: (p >= i) & (p < i + WINDOW))
-    made = F.transform(
-        F.sequence(F.lit(0), F.size("w") - n),
-        lambda i: F.struct(
-            i.alias("pos"),
-            F.xxhash64(F.slice("th", i + 1, WINDOW)).alias("tpl"),
-            F.xxhash64(F.slice("wh", i + 1, WINDOW)).alias("raw"),
-            F.when(F.size("at") > 0, F.transform(inside(i), lambda p: F.element_at("w", p + 1))).otherwise(F.array().cast("array<string>")).alias("slots"),
-        ),
-    )
-    return r.select(key, *extra, n.alias("n"), F.explode(made).alias("x")).select(key, *extra, "n", "x.pos", "x.tpl", "x.raw", "x.slots").where(F.col("n") - F.size("slots") >= F.least(F.col("n"), F.lit(LITERALS)))
+def _shifted_hash(h, by: int):
+    """Hash of each element with the one `by` places later; the last `by` have none."""
+    left, right = F.slice(h, 1, F.greatest(F.size(h) - by, F.lit(0))), F.slice(h, by + 1, F.greatest(F.size(h) - by, F.lit(0)))
+    return F.zip_with(left, right, lambda a, b: F.xxhash64(a, b))
+
+
+def located(rows: DataFrame, key: str) -> DataFrame:
+    """(key, text) -> a row per window: key, n, tpl (hash of its template), pos; w, t and at: words of its block and its place there.
+
+    Blocks of BLOCK words bound what a row carries, however long the text. explode_outer keeps the optimizer from working arrays out
+    once more in a filter; rows without words have no tpl.
+    """
+    r = rows.select(F.col(f"`{key}`"), raw_words().alias("w")).select(key, "w", template_words(F.col("w")).alias("t"))
+    # t is named more than once, and so isn't worked out anew for each block
+    n = F.least(F.size("t"), F.lit(WINDOW))
+    starts = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - n, F.lit(BLOCK)))
+    block = F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice("w", s + 1, BLOCK + WINDOW - 1).alias("w"), F.slice("t", s + 1, BLOCK + WINDOW - 1).alias("t")))
+    r = r.select(key, n.alias("n"), block.alias("blocks")).select(key, "n", F.explode_outer("blocks").alias("b")).select(key, "n", "b.start", "b.w", "b.t")
+    r = r.withColumn("h", F.transform("t", lambda x: F.xxhash64(x)))
+    # windows of 1, 2, 4 and then 8 words
+    by, h = 1, F.col("h")
+    while by < WINDOW:
+        h = _shifted_hash(h, by)
+        r, h, by = r.withColumn(f"h{by}", h), F.col(f"h{by}"), 2 * by
+    r = r.select(key, "n", "start", "w", "t", F.when(F.col("n") < WINDOW, F.array(F.xxhash64("h"))).otherwise(h).alias("h"))
+    return r.select(key, "n", "start", "w", "t", F.posexplode_outer("h").alias("at", "tpl")).select(key, "n", "tpl", (F.col("start") + F.col("at")).alias("pos"), "w", "t", "at")
+
+
+def detailed(found: DataFrame, *columns: str) -> DataFrame:
+    """Of located windows the columns, raw (hash of the raw words) and slots (the words in slots)."""
+    one = F.arrays_zip(F.slice("w", F.col("at") + 1, F.col("n")).alias("w"), F.slice("t", F.col("at") + 1, F.col("n")).alias("t"))
+    slots = F.transform(F.filter(one, lambda x: x["t"].isin("#", "@", "&")), lambda x: x["w"])
+    return found.select(*columns, F.xxhash64(F.slice("w", F.col("at") + 1, F.col("n"))).alias("raw"), slots.alias("slots"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, verbatim, refilled): windows each document shares with each item, after the slot check."""
-    own = stored(windows(benchmark.select("item_id", "text"), "item_id").groupBy("tpl", "raw", "n", "slots").agg(F.min("item_id").alias("item_id")))
+    own = detailed(located(benchmark, "item_id").where("tpl is not null"), "item_id", "tpl", "n")
+    own = own.where(F.col("n") - F.size("slots") >= F.least(F.col("n"), F.lit(LITERALS)))
+    own = stored(own.groupBy("tpl", "raw", "n", "slots").agg(F.min("item_id").alias("item_id")))
     small = own.count() <= BROADCAST_WINDOWS
     items = own.select("item_id", F.col("tpl").alias("b_tpl"), F.col("raw").alias("b_raw"), F.col("n").alias("b_n"), F.col("slots").alias("b_slots"))
-    mine = windows(docs.select("doc_id", "text"), "doc_id")
-    met = mine.join(F.broadcast(items) if small else items, (F.col("tpl") == F.col("b_tpl")) & (F.col("n") == F.col("b_n")))
-    met = met.select("doc_id", "item_id", (F.col("raw") == F.col("b_raw")).alias("same"), "pos", "slots", "b_slots")
+    # equal templates have equally many literal words, and only windows that meet need their slots
+    met = located(docs, "doc_id").join(F.broadcast(items) if small else items, (F.col("tpl") == F.col("b_tpl")) & (F.col("n") == F.col("b_n")))
+    met = detailed(met, "doc_id", "item_id", "pos", "b_raw", "b_slots")
+    met = stored(met.select("doc_id", "item_id", (F.col("raw") == F.col("b_raw")).alias("same"), "pos", "slots", "b_slots"))
     exact = met.where("same").groupBy("doc_id", "item_id").agg(F.count("*").alias("verbatim"))
     # re-filled slots: each value of the item keeps one value in the document
     pairs = met.where("not same").select("doc_id", "item_id", "pos", F.explode(F.arrays_zip("b_slots", "slots")).alias("z"))
