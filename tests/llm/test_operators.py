@@ -187,6 +187,16 @@ def test_decontamination(spark):
     assert decontamination.clean(frame(spark, t), items.limit(0)).count() == len(t)
 
 
+def test_decontamination_finds_each_place_of_a_long_text(spark):
+    passage = "pour Anna 12 kg of sand into the old bucket"
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    near = [decontamination.BLOCK * k + d for k in (0, 1, 2) for d in (-9, -8, -7, -1, 0, 1)]
+    places = [p for p in near if p >= 0]
+    texts = [" ".join(["so", *["word"] * (p - 1)][:p] + [passage] + ["end"] * 3) for p in places]
+    found = {r["doc_id"]: r["verbatim"] for r in decontamination.hits(frame(spark, texts), items).collect()}
+    assert found == {k: len(passage.split()) - decontamination.WINDOW + 1 for k in range(len(places))}
+
+
 def brute_quality(t):
     t = t or ""
     w = WORD.findall(t)
