@@ -2,8 +2,10 @@
 
 A document's set holds its distinct n-word shingles. Equal sets are one class from the start. Classes of equal size and equal
 prefix are one group, and only groups meet: by a shared prefix shingle (prefixes under the global rarity order of words.py),
-then by length and position filters. Group pairs expand to their members; a parity sketch of SKETCH bits, whose differing bits never
-outnumber the differing shingles, rules most pairs out, and the whole sets of the others are compared.
+then by length and position filters. Prefixes are longer than one common shingle needs, by a share of the set's size, and a pair
+must then share as many shingles more: long texts with one passage in common don't meet. Group pairs expand to their members; a parity
+sketch of half a bit a shingle or more, whose differing bits never outnumber the differing shingles, rules most pairs out, and the
+whole sets of the others are compared.
 
 What is asked for is each document's component, so links inside a component need not all be found. Pass one tries, for each
 shared shingle, each group against one or two hubs of that shingle: linear in the entries. Pass
@@ -25,7 +27,8 @@ from .components import components
 from .words import bucket, frequency_sketch, id_filter, mixed, passes_filter, shingle_hashes, word_hashes
 
 
-SKETCH = 1024
+#: A set of n shingles shares 1 + n // COMMON prefix shingles with any similar set as large or larger.
+COMMON = 20
 
 
 def _shingles(size: int):
@@ -41,8 +44,18 @@ def overlap_needed(n1, n2, percent: int):
     return -((-percent * (n1 + n2)) // (100 + percent))
 
 
+def common_needed(n):
+    """Least number of shared shingles among the prefixes of a similar pair whose smaller set has n."""
+    return 1 + n // COMMON
+
+
 def prefix_length(n, percent: int):
-    return n - (-(-percent * n // 100)) + 1
+    return min(n, n - (-(-percent * n // 100)) + common_needed(n))
+
+
+def sketch_bits(n: int) -> int:
+    """A power of two, at least half of n."""
+    return 1 << max(6, ((n - 1) // 2).bit_length())
 
 
 def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -64,7 +77,8 @@ def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     cls.append(_class_of(s))
                     p = s[np.argsort(common[a:b][at], kind="stable")[: prefix_length(len(s), percent)]] if len(s) else s
                     prefix.append((p >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                    sketch.append(np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes())
+                    bits = sketch_bits(len(s))
+                    sketch.append(np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes())
                 yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int32()))], ["doc_id", "n", "cls", "sketch", "prefix"])
 
     return with_ids(docs, "doc_id", "text").mapInArrow(made, "doc_id long, n long, cls long, sketch binary, prefix array<int>")
@@ -141,7 +155,8 @@ def hub_pairs(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Entries (token, gid, comp, n, pos), a run's rows together -> all pairs of a run in different components that pass the filters."""
+    """Entries (token, gid, comp, n, pos), a run's rows together -> all pairs of a run in different components that pass the filters,
+    and the number of runs that a pair must be found in."""
 
     def run(c, block=2048):
         order = np.lexsort((c[1], c[3]))
@@ -160,7 +175,7 @@ def rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
                 keep = most >= overlap_needed(n[i], n[j], percent)
                 if keep.any():
                     i, j = i[keep], j[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gid[i], comp[i], gid[j], comp[j])], ["g1", "c1", "g2", "c2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gid[i], comp[i], gid[j], comp[j], common_needed(n[i]))], ["g1", "c1", "g2", "c2", "runs"])
 
     def made(batches):
         held = None
@@ -175,7 +190,15 @@ def rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
         if held is not None and len(held[0]) > 1:
             yield from run(held)
 
-    return entries.mapInArrow(made, "g1 long, c1 long, g2 long, c2 long")
+    return entries.mapInArrow(made, "g1 long, c1 long, g2 long, c2 long, runs long")
+
+
+def _folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Sketches of at most `width` words: a sketch's halves, combined, are the sketch of half as many bits."""
+    while x.shape[1] > width:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
 
 
 def plausible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -184,9 +207,15 @@ def plausible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     def near(batches):
         for batch in batches:
             n1, n2 = (batch.column(c).to_numpy() for c in ("n1", "n2"))
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for c in ("k1", "k2"))
+            k1, k2 = (np.array(batch.column(c).to_pylist(), object) for c in ("k1", "k2"))
+            wide = np.array([(len(x), len(y)) for x, y in zip(k1, k2, strict=True)], np.int64).reshape(-1, 2)
+            far = np.zeros(len(n1), np.int64)
+            for w1, w2 in np.unique(wide, axis=0):
+                at = np.flatnonzero((wide == (w1, w2)).all(1))
+                x, y = (np.frombuffer(b"".join(k[at]), np.uint64).reshape(len(at), -1) for k in (k1, k2))
+                far[at] = np.bitwise_count(_folded(x, y.shape[1]) ^ _folded(y, x.shape[1])).sum(1, dtype=np.int64)
             most = n1 + n2 - 2 * overlap_needed(n1, n2, percent)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(far <= most))
 
     one = members.select(F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("k1"))
     two = members.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("k2"))
@@ -261,7 +290,8 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     crossing = runs.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     left = runs.join(crossing, "token", "left_semi").repartition(parts(spark), "token").sortWithinPartitions("token")
-    found = stored(rest_pairs(left, percent).distinct())
+    found = rest_pairs(left, percent).groupBy("g1", "c1", "g2", "c2").agg(F.count("*").alias("met"), F.max("runs").alias("runs"))
+    found = stored(found.where("met >= runs").select("g1", "c1", "g2", "c2"))
     small_batches(spark)
     # members of one group in different components: no shared-token run needed
     alone = placed.select("gid", "comp").distinct()
