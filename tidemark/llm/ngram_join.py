@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import in_chunks, parts, small_batches, stored, table, text_bytes, with_ids
 from .components import components
-from .words import bucket, frequency_sketch, id_filter, mixed, passes_filter, shingle_hashes, word_hashes
+from .words import SKETCH_BITS, bucket, frequency_sketch, id_filter, mixed, passes_filter, shingle_hashes, word_hashes
 
 
 #: A set of n shingles shares 1 + n // COMMON prefix shingles with any similar set as large or larger.
@@ -60,8 +60,17 @@ def sketch_bits(n: int) -> int:
 
 def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, n, cls, sketch, prefix): set size, 64-bit digest and parity sketch of the set, prefix shingles (32 bits) in rarity order."""
-    sketch = frequency_sketch(docs.sparkSession, docs, lambda data, bounds: word_hashes(data, bounds)[0])
-    rarity = docs.sparkSession.sparkContext.broadcast(np.log2(sketch + 1.0).astype(np.float32))
+
+    def both(data, bounds):
+        """Hashes of words, then of shingles: each in its half of the sketch."""
+        w, _, of = word_hashes(data, bounds)
+        h, _ = shingle_hashes(w, of, len(bounds) - 1, size)
+        return np.concatenate([w >> np.uint64(1), (h >> np.uint64(1)) | np.uint64(1 << 63)])
+
+    words, shingles = frequency_sketch(docs.sparkSession, docs, both, SKETCH_BITS + 1).reshape(2, -1)
+    # a shingle is hot by the doublings of its bucket's count over the mean; passages that many texts share stand out
+    hot = np.log2(np.maximum(1, shingles / max(shingles.mean(), 1))).astype(np.int64)
+    rarity = docs.sparkSession.sparkContext.broadcast((np.log2(words + 1.0).astype(np.float32), hot.astype(np.uint8)))
 
     def made(batches):
         for batch in batches:
@@ -69,7 +78,8 @@ def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 data, texts = text_bytes(chunk.column("text"))
                 w, _, of = word_hashes(data, texts)
                 h, bounds = shingle_hashes(w, of, len(texts) - 1, size)
-                common = _commonness(rarity.value[bucket(w)], of, len(texts) - 1, size)
+                level, hot = rarity.value
+                common = _commonness(level[bucket(w)], of, len(texts) - 1, size) + (hot[bucket(h)].astype(np.int64) << 32)
                 n, cls, prefix, sketch = [], [], [], []
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                     s, at = np.unique(h[a:b], return_index=True)
@@ -86,7 +96,7 @@ def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 def _commonness(level: np.ndarray, of: np.ndarray, n_texts: int, size: int) -> np.ndarray:
     """Of each shingle, in whole steps, the sum of its words' log counts: a function of the shingle alone, and so part of a total
-    order; shingles of rare words come first, and nearly all of those are rare, however large the corpus."""
+    order; among shingles that aren't hot those of rare words come first, and nearly all of those are rare, however large the corpus."""
     counts = np.bincount(of, minlength=n_texts) if len(of) else np.zeros(n_texts, np.int64)
     made = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
     begin = np.repeat(np.cumsum(counts) - counts, made) + (np.arange(made.sum()) - np.repeat(np.cumsum(made) - made, made))

@@ -88,20 +88,20 @@ def shingle_hashes(h: np.ndarray, of: np.ndarray, n_texts: int, size: int) -> tu
     return mixed(out), np.concatenate([[0], np.cumsum(made)])
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def bucket(h: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def frequency_sketch(spark: SparkSession, docs: DataFrame, hashes_of) -> np.ndarray:
-    """Counts per bucket over all texts. Each task sends 2 ** SKETCH_BITS numbers, and the driver gets as many, whatever the input."""
+def frequency_sketch(spark: SparkSession, docs: DataFrame, hashes_of, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Counts per bucket over all texts. Each task sends 2 ** bits numbers, and the driver gets as many, whatever the input."""
     small_batches(spark)
-    width = (1 << SKETCH_BITS) // SLICES
+    width = (1 << bits) // SLICES
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for chunk in in_chunks(batch, "text"):
-                total += np.bincount(bucket(hashes_of(*text_bytes(chunk.column("text")))), minlength=1 << SKETCH_BITS)
+                total += np.bincount(bucket(hashes_of(*text_bytes(chunk.column("text"))), bits), minlength=1 << bits)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in total.reshape(SLICES, width)], pa.binary())], ["slice", "counts"])
 
