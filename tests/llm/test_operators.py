@@ -197,6 +197,17 @@ def test_decontamination_finds_each_place_of_a_long_text(spark):
     assert found == {k: len(passage.split()) - decontamination.WINDOW + 1 for k in range(len(places))}
 
 
+def test_decontamination_checks_slots_by_occurrence(spark):
+    items = spark.createDataFrame([(1, "now Tom has 12 apples and then Tom gives 5 kg to the old man")], "item_id long, text string")
+    bob, jim = "well Bob has 30 apples and then Bob gives 7 kg to the old man", "well Jim has 40 apples and then Jim gives 9 kg to the old man"
+    mixed = "well Bob has 30 apples and then Jim gives 7 kg to the old man"
+    t = [bob, f"{bob} and so on and on {jim}", f"{bob} and so on and on {mixed}", mixed, "and then Ron gives 4 kg to the old man"]
+    found = {r["doc_id"]: (r["verbatim"], r["refilled"]) for r in decontamination.hits(frame(spark, t), items).collect()}
+    assert set(found) == {0, 1, 2, 4} and found[1][1] == 2 * found[0][1] and found[2] == found[0]
+    again = spark.createDataFrame([(7, bob), (7, jim)], "doc_id long, text string")
+    assert decontamination.hits(again, items).collect()[0]["refilled"] == 2 * found[0][1]
+
+
 def brute_quality(t):
     t = t or ""
     w = WORD.findall(t)

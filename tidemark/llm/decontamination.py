@@ -3,8 +3,9 @@
 Text is lower-cased after names are marked, and punctuation goes. Numbers become `#`, units after numbers `@`, names (capitalised
 words inside a sentence) `&`. Windows of WINDOW template words, or the whole of a shorter item, are hashed; a document's windows
 meet the benchmark's by equal hash. Windows of fewer than LITERALS literal words say nothing and are left out. Where the raw words
-differ, the slots are checked: within a document and item, no slot value of the item may stand for two of the document.
-A document is contaminated by one verbatim window, or by consistent windows of an item that hold a re-filled slot.
+differ, the slots are checked by occurrence, which is an item at one place of a text (document position less item position): within
+it no slot value of the item may stand for two of the document.
+A document is contaminated by one verbatim window, or by one consistent occurrence of an item with a re-filled slot.
 
 Edge cases: null or empty text has no windows; documents shorter than a window meet only items as short; repeated rows are
 judged each; null ids are kept; an empty benchmark flags nothing; columns other than ids and text pass by untouched.
@@ -56,25 +57,26 @@ def _shifted_hash(h, by: int):
 
 
 def located(rows: DataFrame, key: str) -> DataFrame:
-    """(key, text) -> a row per window: key, n, tpl (hash of its template), pos; w, t and at: words of its block and its place there.
+    """(key, text) -> a row per window: key, row (one number a row), n, tpl (hash of its template), pos; w, t and at: words of its block
+    and its place there.
 
     Blocks of BLOCK words bound what a row carries, however long the text. explode_outer keeps the optimizer from working arrays out
     once more in a filter; rows without words have no tpl.
     """
-    r = rows.select(F.col(f"`{key}`"), raw_words().alias("w")).select(key, "w", template_words(F.col("w")).alias("t"))
+    r = rows.select(F.col(f"`{key}`"), F.monotonically_increasing_id().alias("row"), raw_words().alias("w")).select(key, "row", "w", template_words(F.col("w")).alias("t"))
     # t is named more than once, and so isn't worked out anew for each block
     n = F.least(F.size("t"), F.lit(WINDOW))
     starts = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - n, F.lit(BLOCK)))
     block = F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice("w", s + 1, BLOCK + WINDOW - 1).alias("w"), F.slice("t", s + 1, BLOCK + WINDOW - 1).alias("t")))
-    r = r.select(key, n.alias("n"), block.alias("blocks")).select(key, "n", F.explode_outer("blocks").alias("b")).select(key, "n", "b.start", "b.w", "b.t")
+    r = r.select(key, "row", n.alias("n"), block.alias("blocks")).select(key, "row", "n", F.explode_outer("blocks").alias("b")).select(key, "row", "n", "b.start", "b.w", "b.t")
     r = r.withColumn("h", F.transform("t", lambda x: F.xxhash64(x)))
     # windows of 1, 2, 4 and then 8 words
     by, h = 1, F.col("h")
     while by < WINDOW:
         h = _shifted_hash(h, by)
         r, h, by = r.withColumn(f"h{by}", h), F.col(f"h{by}"), 2 * by
-    r = r.select(key, "n", "start", "w", "t", F.when(F.col("n") < WINDOW, F.array(F.xxhash64("h"))).otherwise(h).alias("h"))
-    return r.select(key, "n", "start", "w", "t", F.posexplode_outer("h").alias("at", "tpl")).select(key, "n", "tpl", (F.col("start") + F.col("at")).alias("pos"), "w", "t", "at")
+    r = r.select(key, "row", "n", "start", "w", "t", F.when(F.col("n") < WINDOW, F.array(F.xxhash64("h"))).otherwise(h).alias("h"))
+    return r.select(key, "row", "n", "start", "w", "t", F.posexplode_outer("h").alias("at", "tpl")).select(key, "row", "n", "tpl", (F.col("start") + F.col("at")).alias("pos"), "w", "t", "at")
 
 
 def detailed(found: DataFrame, *columns: str) -> DataFrame:
@@ -86,21 +88,30 @@ def detailed(found: DataFrame, *columns: str) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, verbatim, refilled): windows each document shares with each item, after the slot check."""
-    own = detailed(located(benchmark, "item_id").where("tpl is not null"), "item_id", "tpl", "n")
+    own = detailed(located(benchmark, "item_id").where("tpl is not null"), "item_id", "tpl", "n", "pos")
     own = own.where(F.col("n") - F.size("slots") >= F.least(F.col("n"), F.lit(LITERALS)))
-    own = stored(own.groupBy("tpl", "raw", "n", "slots").agg(F.min("item_id").alias("item_id")))
+    own = stored(own.groupBy("tpl", "raw", "n", "slots").agg(F.min(F.struct("item_id", "pos")).alias("first")).select("tpl", "raw", "n", "slots", "first.item_id", "first.pos"))
     small = own.count() <= BROADCAST_WINDOWS
-    items = own.select("item_id", F.col("tpl").alias("b_tpl"), F.col("raw").alias("b_raw"), F.col("n").alias("b_n"), F.col("slots").alias("b_slots"))
+    items = own.select("item_id", F.col("pos").alias("b_pos"), F.col("tpl").alias("b_tpl"), F.col("raw").alias("b_raw"), F.col("n").alias("b_n"), F.col("slots").alias("b_slots"))
     # equal templates have equally many literal words, and only windows that meet need their slots
     met = located(docs, "doc_id").join(F.broadcast(items) if small else items, (F.col("tpl") == F.col("b_tpl")) & (F.col("n") == F.col("b_n")))
-    met = detailed(met, "doc_id", "item_id", "pos", "b_raw", "b_slots")
-    met = stored(met.select("doc_id", "item_id", (F.col("raw") == F.col("b_raw")).alias("same"), "pos", "slots", "b_slots"))
-    exact = met.where("same").groupBy("doc_id", "item_id").agg(F.count("*").alias("verbatim"))
-    # re-filled slots: each value of the item keeps one value in the document
-    pairs = met.where("not same").select("doc_id", "item_id", "pos", F.explode(F.arrays_zip("b_slots", "slots")).alias("z"))
-    per_value = pairs.groupBy("doc_id", "item_id", "z.b_slots").agg(F.min("z.slots").alias("lo"), F.max("z.slots").alias("hi"), F.countDistinct("pos").alias("windows"))
-    filled = per_value.groupBy("doc_id", "item_id").agg(F.max(F.when(F.col("lo") != F.col("hi"), 1).otherwise(0)).alias("bad"), F.max("windows").alias("refilled")).where("bad = 0")
-    return exact.select("doc_id", "item_id", "verbatim", F.lit(0).cast("long").alias("refilled")).unionByName(filled.select("doc_id", "item_id", F.lit(0).cast("long").alias("verbatim"), "refilled")).groupBy("doc_id", "item_id").agg(F.sum("verbatim").alias("verbatim"), F.sum("refilled").alias("refilled"))
+    met = detailed(met, "doc_id", "row", "item_id", "pos", "b_pos", "b_raw", "b_slots")
+    met = stored(met.select("doc_id", "row", "item_id", "pos", (F.col("pos") - F.col("b_pos")).alias("place"), (F.col("raw") == F.col("b_raw")).alias("same"), "slots", "b_slots"))
+    return counted(met)
+
+
+def counted(met: DataFrame) -> DataFrame:
+    """(doc_id, row, item_id, pos, place, same, slots, b_slots), a row per meeting -> what hits() returns."""
+    # re-filled slots: within an occurrence each value of the item keeps one value in the document
+    occurrence = ("row", "item_id", "place")
+    pairs = met.where("not same").select(*occurrence, F.explode(F.arrays_zip("b_slots", "slots")).alias("z"))
+    broken = pairs.groupBy(*occurrence, "z.b_slots").agg(F.min("z.slots").alias("lo"), F.max("z.slots").alias("hi")).where("lo <> hi")
+    broken = broken.select(*[F.col(c).alias(f"x_{c}") for c in occurrence]).distinct()
+    at = [F.col(c).eqNullSafe(F.col(f"x_{c}")) for c in occurrence]
+    whole = met.where("not same").join(broken, at, "left_anti").unionByName(met.where("same"))
+    # a window that is verbatim at one place isn't counted as re-filled at another
+    windows = whole.groupBy("doc_id", "row", "item_id", "pos").agg(F.max("same").alias("same"))
+    return windows.groupBy("doc_id", "item_id").agg(F.count(F.when(F.col("same"), 1)).alias("verbatim"), F.count(F.when(~F.col("same"), 1)).alias("refilled"))
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
