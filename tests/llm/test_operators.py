@@ -208,6 +208,14 @@ def test_decontamination_checks_slots_by_occurrence(spark):
     assert decontamination.hits(again, items).collect()[0]["refilled"] == 2 * found[0][1]
 
 
+def test_decontamination_finds_verbatim_windows_of_slots(spark):
+    dense = "gives Tom 12 kg, Anna 7 kg and Bob 5 kg"
+    items = spark.createDataFrame([(1, dense)], "item_id long, text string")
+    t = [f"now he {dense} of it", "now he gives Jim 13 kg, Eve 8 kg and Ron 6 kg of it"]
+    found = {r["doc_id"]: (r["verbatim"], r["refilled"]) for r in decontamination.hits(frame(spark, t), items).collect()}
+    assert found == {0: (len(dense.split()) - decontamination.WINDOW + 1, 0)}
+
+
 def brute_quality(t):
     t = t or ""
     w = WORD.findall(t)

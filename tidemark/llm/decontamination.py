@@ -2,8 +2,8 @@
 
 Text is lower-cased after names are marked, and punctuation goes. Numbers become `#`, units after numbers `@`, names (capitalised
 words inside a sentence) `&`. Windows of WINDOW template words, or the whole of a shorter item, are hashed; a document's windows
-meet the benchmark's by equal hash. Windows of fewer than LITERALS literal words say nothing and are left out. Where the raw words
-differ, the slots are checked by occurrence, which is an item at one place of a text (document position less item position): within
+meet the benchmark's by equal hash. Where the raw words differ, windows of fewer than LITERALS literal words say nothing and are left
+out, and the slots are checked by occurrence, which is an item at one place of a text (document position less item position): within
 it no slot value of the item may stand for two of the document.
 A document is contaminated by one verbatim window, or by one consistent occurrence of an item with a re-filled slot.
 
@@ -89,14 +89,22 @@ def detailed(found: DataFrame, *columns: str) -> DataFrame:
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, verbatim, refilled): windows each document shares with each item, after the slot check."""
     own = detailed(located(benchmark, "item_id").where("tpl is not null"), "item_id", "tpl", "n", "pos")
-    own = own.where(F.col("n") - F.size("slots") >= F.least(F.col("n"), F.lit(LITERALS)))
     own = stored(own.groupBy("tpl", "raw", "n", "slots").agg(F.min(F.struct("item_id", "pos")).alias("first")).select("tpl", "raw", "n", "slots", "first.item_id", "first.pos"))
     small = own.count() <= BROADCAST_WINDOWS
     items = own.select("item_id", F.col("pos").alias("b_pos"), F.col("tpl").alias("b_tpl"), F.col("raw").alias("b_raw"), F.col("n").alias("b_n"), F.col("slots").alias("b_slots"))
-    # equal templates have equally many literal words, and only windows that meet need their slots
-    met = located(docs, "doc_id").join(F.broadcast(items) if small else items, (F.col("tpl") == F.col("b_tpl")) & (F.col("n") == F.col("b_n")))
-    met = detailed(met, "doc_id", "row", "item_id", "pos", "b_pos", "b_raw", "b_slots")
-    met = stored(met.select("doc_id", "row", "item_id", "pos", (F.col("pos") - F.col("b_pos")).alias("place"), (F.col("raw") == F.col("b_raw")).alias("same"), "slots", "b_slots"))
+    kinds = own.select(F.col("tpl").alias("k_tpl"), F.col("n").alias("k_n")).distinct()
+
+    def sent(x: DataFrame) -> DataFrame:
+        return F.broadcast(x) if small else x
+
+    # only windows that meet need their slots; each of them is worked out once, however many of the benchmark's share its template
+    near = located(docs, "doc_id").join(sent(kinds), (F.col("tpl") == F.col("k_tpl")) & (F.col("n") == F.col("k_n")), "left_semi")
+    near = stored(detailed(near, "doc_id", "row", "tpl", "n", "pos"))
+    equal = (F.col("tpl") == F.col("b_tpl")) & (F.col("n") == F.col("b_n"))
+    verbatim = near.join(sent(items), equal & (F.col("raw") == F.col("b_raw")))
+    refilled = near.join(sent(items.where(F.col("b_n") - F.size("b_slots") >= LITERALS)), equal).where(F.col("raw") != F.col("b_raw"))
+    met = [x.select("doc_id", "row", "item_id", "pos", (F.col("pos") - F.col("b_pos")).alias("place"), F.lit(same).alias("same"), "slots", "b_slots") for x, same in ((verbatim, True), (refilled, False))]
+    met = stored(met[0].unionByName(met[1]))
     return counted(met)
 
 
