@@ -216,6 +216,16 @@ def test_decontamination_finds_verbatim_windows_of_slots(spark):
     assert found == {0: (len(dense.split()) - decontamination.WINDOW + 1, 0)}
 
 
+def test_decontamination_finds_short_items_in_longer_texts(spark):
+    short = {1: "what is the capital of France?", 2: "name every prime", 3: "who wrote it in 1813 and why", 4: "seven small words are to be found", 5: "is five words still short"}
+    items = spark.createDataFrame(list(short.items()), "item_id long, text string")
+    places = [0, 1, decontamination.BLOCK - 3, decontamination.BLOCK - 1, decontamination.BLOCK, 2 * decontamination.BLOCK - 2]
+    t = [" ".join(["word"] * p + [x] + ["end"] * after) for x in short.values() for p in places for after in (0, 1, 9)] + ["who wrote it in 1914 and why not", "who wrote it", *ODD]
+    found = {(r["doc_id"], r["item_id"]): (r["verbatim"], r["refilled"]) for r in decontamination.hits(frame(spark, t), items).collect()}
+    per = 3 * len(places)
+    assert found == {(k, 1 + k // per): (1, 0) for k in range(len(short) * per)} | {(len(short) * per, 3): (0, 1)}
+
+
 def brute_quality(t):
     t = t or ""
     w = WORD.findall(t)

@@ -1,13 +1,13 @@
 """Benchmark decontamination by template canonicalisation. DataFrame functions only.
 
 Text is lower-cased after names are marked, and punctuation goes. Numbers become `#`, units after numbers `@`, names (capitalised
-words inside a sentence) `&`. Windows of WINDOW template words, or the whole of a shorter item, are hashed; a document's windows
-meet the benchmark's by equal hash. Where the raw words differ, windows of fewer than LITERALS literal words say nothing and are left
+words inside a sentence) `&`. Windows of WINDOW template words, or the whole of a shorter item, are hashed; a document's windows, of
+WINDOW words and of each length that shorter items have, meet the benchmark's by equal hash. Where the raw words differ, windows of fewer than LITERALS literal words say nothing and are left
 out, and the slots are checked by occurrence, which is an item at one place of a text (document position less item position): within
 it no slot value of the item may stand for two of the document.
 A document is contaminated by one verbatim window, or by one consistent occurrence of an item with a re-filled slot.
 
-Edge cases: null or empty text has no windows; documents shorter than a window meet only items as short; repeated rows are
+Edge cases: null or empty text has no windows; documents shorter than a window meet only items no longer; repeated rows are
 judged each; null ids are kept; an empty benchmark flags nothing; columns other than ids and text pass by untouched.
 """
 
@@ -56,27 +56,38 @@ def _shifted_hash(h, by: int):
     return F.zip_with(left, right, lambda a, b: F.xxhash64(a, b))
 
 
-def located(rows: DataFrame, key: str) -> DataFrame:
-    """(key, text) -> a row per window: key, row (one number a row), n, tpl (hash of its template), pos; w, t and at: words of its block
-    and its place there.
+def located(rows: DataFrame, key: str, lengths: tuple[int, ...] = (WINDOW,)) -> DataFrame:
+    """(key, text) -> a row per window of each of the lengths: key, row (one number a row), words (of the text), n, tpl (hash of its
+    template), pos; w, t and at: words of its block and its place there.
 
     Blocks of BLOCK words bound what a row carries, however long the text. explode_outer keeps the optimizer from working arrays out
-    once more in a filter; rows without words have no tpl.
+    once more in a filter; rows without windows have no tpl.
     """
     r = rows.select(F.col(f"`{key}`"), F.monotonically_increasing_id().alias("row"), raw_words().alias("w")).select(key, "row", "w", template_words(F.col("w")).alias("t"))
     # t is named more than once, and so isn't worked out anew for each block
-    n = F.least(F.size("t"), F.lit(WINDOW))
-    starts = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - n, F.lit(BLOCK)))
+    starts = F.when(F.size("t") >= min(lengths), F.sequence(F.lit(0), F.size("t") - min(lengths), F.lit(BLOCK)))
     block = F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice("w", s + 1, BLOCK + WINDOW - 1).alias("w"), F.slice("t", s + 1, BLOCK + WINDOW - 1).alias("t")))
-    r = r.select(key, "row", n.alias("n"), block.alias("blocks")).select(key, "row", "n", F.explode_outer("blocks").alias("b")).select(key, "row", "n", "b.start", "b.w", "b.t")
-    r = r.withColumn("h", F.transform("t", lambda x: F.xxhash64(x)))
+    r = r.select(key, "row", F.size("t").alias("words"), block.alias("blocks")).select(key, "row", "words", F.explode_outer("blocks").alias("b")).select(key, "row", "words", "b.start", "b.w", "b.t")
     # windows of 1, 2, 4 and then 8 words
-    by, h = 1, F.col("h")
-    while by < WINDOW:
-        h = _shifted_hash(h, by)
-        r, h, by = r.withColumn(f"h{by}", h), F.col(f"h{by}"), 2 * by
-    r = r.select(key, "row", "n", "start", "w", "t", F.when(F.col("n") < WINDOW, F.array(F.xxhash64("h"))).otherwise(h).alias("h"))
-    return r.select(key, "row", "n", "start", "w", "t", F.posexplode_outer("h").alias("at", "tpl")).select(key, "row", "n", "tpl", (F.col("start") + F.col("at")).alias("pos"), "w", "t", "at")
+    r, by = r.withColumn("h1", F.transform("t", lambda x: F.xxhash64(x))), 1
+    while 2 * by <= max(lengths):
+        r = r.withColumn(f"h{2 * by}", _shifted_hash(F.col(f"h{by}"), by))
+        by *= 2
+    made = F.array(*[F.struct(F.lit(n).alias("n"), F.slice(_window_hashes(n), 1, BLOCK).alias("h")) for n in lengths])
+    r = r.select(key, "row", "words", "start", "w", "t", F.explode_outer(made).alias("made")).select(key, "row", "words", "start", "w", "t", "made.n", "made.h")
+    return r.select(key, "row", "words", "n", "start", "w", "t", F.posexplode_outer("h").alias("at", "tpl")).select(key, "row", "words", "n", "tpl", (F.col("start") + F.col("at")).alias("pos"), "w", "t", "at")
+
+
+def _window_hashes(n: int):
+    """Hashes of windows of n words, put together from those of powers of two."""
+    out, done = None, 0
+    for by in (8, 4, 2, 1):
+        if n & by:
+            h = F.col(f"h{by}")
+            size = F.greatest(F.size(h) - done, F.lit(0))
+            out = h if out is None else F.zip_with(F.slice(out, 1, size), F.slice(h, done + 1, size), lambda a, b: F.xxhash64(a, b))
+            done += by
+    return out
 
 
 def detailed(found: DataFrame, *columns: str) -> DataFrame:
@@ -88,7 +99,9 @@ def detailed(found: DataFrame, *columns: str) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, verbatim, refilled): windows each document shares with each item, after the slot check."""
-    own = detailed(located(benchmark, "item_id").where("tpl is not null"), "item_id", "tpl", "n", "pos")
+    all_lengths = tuple(range(1, WINDOW + 1))
+    own = located(benchmark, "item_id", all_lengths).where(F.col("tpl").isNotNull() & (F.col("n") == F.least(F.col("words"), F.lit(WINDOW))))
+    own = detailed(own, "item_id", "tpl", "n", "pos")
     own = stored(own.groupBy("tpl", "raw", "n", "slots").agg(F.min(F.struct("item_id", "pos")).alias("first")).select("tpl", "raw", "n", "slots", "first.item_id", "first.pos"))
     small = own.count() <= BROADCAST_WINDOWS
     items = own.select("item_id", F.col("pos").alias("b_pos"), F.col("tpl").alias("b_tpl"), F.col("raw").alias("b_raw"), F.col("n").alias("b_n"), F.col("slots").alias("b_slots"))
@@ -98,7 +111,8 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return F.broadcast(x) if small else x
 
     # only windows that meet need their slots; each of them is worked out once, however many of the benchmark's share its template
-    near = located(docs, "doc_id").join(sent(kinds), (F.col("tpl") == F.col("k_tpl")) & (F.col("n") == F.col("k_n")), "left_semi")
+    lengths = tuple(sorted({WINDOW} | {r["n"] for r in own.select("n").distinct().collect()}))
+    near = located(docs, "doc_id", lengths).join(sent(kinds), (F.col("tpl") == F.col("k_tpl")) & (F.col("n") == F.col("k_n")), "left_semi")
     near = stored(detailed(near, "doc_id", "row", "tpl", "n", "pos"))
     equal = (F.col("tpl") == F.col("b_tpl")) & (F.col("n") == F.col("b_n"))
     verbatim = near.join(sent(items), equal & (F.col("raw") == F.col("b_raw")))
