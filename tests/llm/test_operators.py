@@ -226,6 +226,13 @@ def test_decontamination_finds_short_items_in_longer_texts(spark):
     assert found == {(k, 1 + k // per): (1, 0) for k in range(len(short) * per)} | {(len(short) * per, 3): (0, 1)}
 
 
+def test_decontamination_names_all_items_of_a_shared_passage(spark):
+    passage = "one two three four five six seven eight nine"
+    items = spark.createDataFrame([(1, passage), (2, passage), (3, f"{passage} ten eleven"), (4, "unlike words all the way down to the end of it")], "item_id long, text string")
+    got = decontamination.flagged(frame(spark, [f"so {passage} ten eleven"]), items).collect()
+    assert [tuple(r) for r in got] == [(0, 3, 2 + 2 + 4, 3)]
+
+
 def brute_quality(t):
     t = t or ""
     w = WORD.findall(t)

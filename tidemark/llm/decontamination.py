@@ -102,7 +102,8 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     all_lengths = tuple(range(1, WINDOW + 1))
     own = located(benchmark, "item_id", all_lengths).where(F.col("tpl").isNotNull() & (F.col("n") == F.least(F.col("words"), F.lit(WINDOW))))
     own = detailed(own, "item_id", "tpl", "n", "pos")
-    own = stored(own.groupBy("tpl", "raw", "n", "slots").agg(F.min(F.struct("item_id", "pos")).alias("first")).select("tpl", "raw", "n", "slots", "first.item_id", "first.pos"))
+    # every item and place that has a window, so that what items share counts for each
+    own = stored(own)
     small = own.count() <= BROADCAST_WINDOWS
     items = own.select("item_id", F.col("pos").alias("b_pos"), F.col("tpl").alias("b_tpl"), F.col("raw").alias("b_raw"), F.col("n").alias("b_n"), F.col("slots").alias("b_slots"))
     kinds = own.select(F.col("tpl").alias("k_tpl"), F.col("n").alias("k_n")).distinct()
