@@ -315,6 +315,27 @@ def test_mixing(spark):
     assert mixing.mixed(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("slots", [97, mixing.SLOTS])
+def test_mixing_joins_documents_with_slots(spark, slots):
+    rows = mixing.mixed(frame(spark, texts(40), ("b", "a", None, "c")), slots=slots).collect()
+    assert len(rows) == 40 + len(ODD) and all(r["taken"] == sum(p["words"] for p in r["slots"]) for r in rows)
+    order = ["a", "b", "c", None]
+    target = {r["source"]: r["target"] for r in rows}
+    ends = [sum(target[s] for s in order[: k + 1]) / sum(target.values()) for k in range(4)]
+    of = [next(s for s, e in zip(order, ends, strict=True) if (i + 1) * 0.6180339887498949 % 1.0 < e) for i in range(slots)]
+    for s in order:
+        own = [i for i in range(slots) if of[i] == s]
+        size, want = sum(r["size"] for r in rows if r["source"] == s), round(target[s])
+        line = [(p["slot"], p["at"], p["words"]) for r in rows if r["source"] == s for p in r["slots"]]
+        # the pieces of each slot lie end to end and fill its block, block after block
+        at = dict.fromkeys(own, 0)
+        for slot, before, words in sorted(line):
+            assert at[slot] == before
+            at[slot] += words
+        n = len(own)
+        assert [at[i] for i in own] == [(k + 1) * want // n - k * want // n for k in range(n)] and sum(at.values()) == want <= 3 * size
+
+
 def test_pipeline_stages_and_registry(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_join", "decontamination", "mixing"]
     assert sorted(queries.QUERIES) == sorted(["pipeline", *[x for x in queries.QUERIES if x.startswith("op")]]) and len(queries.QUERIES) == 11

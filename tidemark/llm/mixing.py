@@ -5,7 +5,8 @@ times its source's size stops there, and the rest is shared again (water filling
 The schedule has SLOTS slots. Slot i holds the golden-ratio point frac(i * phi), which falls into one source's stretch of the
 cumulative targets; slots of a source are ranked. A source's documents lie in hashed order on a line of words that repeats
 endlessly; its n slots take n blocks of equal words from it, together exactly its target, so slot rank r stands for words
-[r * target / n, (r + 1) * target / n) of that line.
+[r * target / n, (r + 1) * target / n) of that line. Each document's words on the line, in each round, are joined with the blocks they
+lie in by block number; what it gives is the sum over these pieces, and (slot, at) of the pieces is the order of the mix.
 
 Edge cases: empty or null text has size 0 and takes 0; a source without words has target 0; repeated rows are mixed as rows
 of their own; an empty table gives an empty result; other columns pass by untouched.
@@ -67,35 +68,51 @@ def schedule(spark: SparkSession, goals: DataFrame, slots: int = SLOTS) -> DataF
     return all_slots.select("slot", "source", "target", rank.alias("rank"), n.alias("n")).select("slot", "source", "rank", F.floor(F.col("rank") * whole_target / F.col("n")).cast("long").alias("from_word"), F.floor((F.col("rank") + 1) * whole_target / F.col("n")).cast("long").alias("to_word"))
 
 
-def mixed(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """documents -> every row with size, source_size, target (double) and taken (long); with_text also keeps its other columns.
+def mixed(docs: DataFrame, with_text: bool = True, slots: int = SLOTS) -> DataFrame:
+    """documents -> every row with size, source_size, target (double), taken (long) and slots (array of slot, at, words: the pieces of the
+    row that slots take, at: words of the slot's block before it); with_text also keeps its other columns.
 
     Sizes are summed by source and hashed cell first; what a task orders is one cell, a small share of any source.
     """
     spark = docs.sparkSession
-    made = ("size", "source_size", "target", "taken")
+    made = ("size", "source_size", "target", "taken", "slots")
     own = [c for c in docs.columns if c not in made] if with_text else ["doc_id", "source"]
     size_of = word_count()
     cell = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("cell")), F.lit(CELLS)).cast("int")
-    sized = docs.select(*[F.col(f"`{c}`").alias(f"own_{c}") for c in own], F.col("doc_id").alias("id_"), F.col("source").alias("source_"), size_of.alias("size_"), cell.alias("cell_"))
-    if not with_text:
-        sized = stored(sized)
+    # stored, so that row_ stays the same for each use
+    sized = stored(docs.select(*[F.col(f"`{c}`").alias(f"own_{c}") for c in own], F.monotonically_increasing_id().alias("row_"), F.col("doc_id").alias("id_"), F.col("source").alias("source_"), size_of.alias("size_"), cell.alias("cell_")))
     small = stored(sized.groupBy(F.col("source_").alias("source"), F.col("cell_").alias("cell")).agg(F.sum("size_").alias("cell_size")))
     goals = stored(targets(small.groupBy("source").agg(F.sum("cell_size").cast("long").alias("source_size"))))
+    dealt = stored(schedule(spark, goals, slots))
     # a source's equal blocks, in rank order, fill [0, words) of its line
-    filled = schedule(spark, goals).groupBy(F.col("source").alias("s3")).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("words"))
+    filled = dealt.groupBy(F.col("source").alias("s3")).agg(F.max("to_word").alias("words"), F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = small.select(F.col("source").alias("s1"), F.col("cell").alias("c1"), F.coalesce(F.sum("cell_size").over(before), F.lit(0)).cast("long").alias("offset"))
     offsets = offsets.join(goals.select(F.col("source").alias("s2"), "source_size", "target"), F.col("s1").eqNullSafe(F.col("s2")))
-    offsets = offsets.join(filled, F.col("s1").eqNullSafe(F.col("s3")), "left").select("s1", "c1", "offset", "source_size", "target", F.coalesce("words", F.lit(0)).alias("words"))
+    offsets = offsets.join(filled, F.col("s1").eqNullSafe(F.col("s3")), "left").select("s1", "c1", "offset", "source_size", "target", F.coalesce("words", F.lit(0)).alias("words"), "n")
     inside = Window.partitionBy("source_", "cell_").orderBy(F.xxhash64("id_", F.lit("shuffle")), "id_", "size_").rowsBetween(Window.unboundedPreceding, -1)
-    met = sized.withColumn("at_", F.coalesce(F.sum("size_").over(inside), F.lit(0)).cast("long")).join(offsets, F.col("source_").eqNullSafe(F.col("s1")) & (F.col("cell_") == F.col("c1")))
-    lo, size, total, words = F.col("offset") + F.col("at_"), F.col("size_"), F.col("source_size"), F.col("words")
-    rounds = F.when(total > 0, F.floor(words / F.greatest(total, F.lit(1)))).otherwise(0).cast("long")
-    rest = words - rounds * total
-    taken = rounds * size + F.greatest(F.lit(0), F.least(lo + size, rest) - F.least(lo, rest))
-    return met.select(*[F.col(f"own_{c}").alias(c) for c in own], size.alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
+    met = sized.select("row_", "id_", "source_", "cell_", "size_").withColumn("at_", F.coalesce(F.sum("size_").over(inside), F.lit(0)).cast("long")).join(offsets, F.col("source_").eqNullSafe(F.col("s1")) & (F.col("cell_") == F.col("c1")))
+    # the row's words in each round that begins within [0, words), cut there
+    first, total, words = F.col("offset") + F.col("at_"), F.col("source_size"), F.col("words")
+    rounds = F.when((F.col("size_") > 0) & (first < words), F.sequence(F.lit(0).cast("long"), F.floor((words - 1 - first) / total).cast("long")))
+    met = met.select("row_", "id_", "source_", "size_", "source_size", "target", "words", "n", first.alias("first"), F.explode_outer(rounds).alias("round"))
+    begin = F.col("first") + F.col("round") * total
+    met = met.withColumn("begin", begin).withColumn("end", F.least(begin + F.col("size_"), words))
+    # block numbers, with one to spare on either side for rounding; pieces without words go
+    low, high = F.floor(F.col("begin") * F.col("n") / words) - 1, F.floor(F.col("end") * F.col("n") / words) + 1
+    ranks = F.when(F.col("round").isNotNull(), F.sequence(F.greatest(low.cast("long"), F.lit(0).cast("long")), F.least(high.cast("long"), F.col("n") - 1)))
+    met = met.withColumn("rank_", F.explode_outer(ranks))
+    blocks = F.broadcast(dealt.select("slot", F.col("source").alias("s4"), F.col("rank").cast("long").alias("r4"), "from_word", "to_word"))
+    met = met.join(blocks, F.col("source_").eqNullSafe(F.col("s4")) & (F.col("rank_") == F.col("r4")), "left")
+    start = F.greatest("begin", "from_word")
+    piece = F.struct("slot", (start - F.col("from_word")).alias("at"), (F.least("end", "to_word") - start).alias("words"))
+    pieces = met.withColumn("piece", F.when(F.col("slot").isNotNull() & (piece["words"] > 0), piece)).groupBy("row_", "id_", "source_", "size_", "source_size", "target")
+    taken = pieces.agg(F.coalesce(F.sum("piece.words"), F.lit(0)).cast("long").alias("taken"), F.sort_array(F.collect_list("piece")).alias("slots"))
+    if not with_text:
+        return taken.select(F.col("id_").alias("doc_id"), F.col("source_").alias("source"), F.col("size_").alias("size"), "source_size", "target", "taken", "slots")
+    taken = taken.select(F.col("row_").alias("row2_"), "source_size", "target", "taken", "slots")
+    return sized.join(taken, F.col("row_") == F.col("row2_")).select(*[F.col(f"own_{c}").alias(c) for c in own], F.col("size_").alias("size"), "source_size", "target", "taken", "slots")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "size", "source_size", "target", "taken", "slots")
