@@ -287,6 +287,16 @@ def test_secrets(spark):
     assert all(got[k]["spans"] == "" for k in range(5, len(t)))
 
 
+def test_secrets_stated_twice_before_the_word_or_without_digits(spark):
+    key, letters = "Zk3v9QpL2xW8rT5yB1nM7cJ4", "ZkQvXqpLWxjWGrTzyBHnMwcJ"
+    line = f"the secret key is {key} ok"
+    filler = "x " * 190
+    t = [f"{line}\n{line}", f"{line} {filler}{line}", f"{key} is the secret key", f"the secret key is {letters} ok", f"{key} is far from {'no word of this kind ' * 4} secret", "token: see configuration_environment_variable here", "the secret number 1234567890123456"]
+    found = {r["doc_id"]: re.findall(r"novel:(\d+):(\d+)", r["spans"]) for r in secrets.scanned(frame(spark, t)).collect()}
+    got = [[t[k][int(a) : int(b)] for a, b in found[k]] for k in range(len(t))]
+    assert got == [[key, key], [key, key], [key], [letters], [], [], []]
+
+
 def test_mixing(spark):
     t = texts(120)
     df = frame(spark, t, ("b", "a", None, "é", "c"))

@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns first, then strings that a primed zstandard compressor finds novel in a sensitive context.
 
-A candidate is a run of 16 or more token characters that holds a digit and a letter, follows a sensitive word within CONTEXT
-characters, and is no base span. Its novelty is the number of bytes it adds to the compressed text around it, under a dictionary of
-identifiers and common words, per byte of its own; NOVEL and more is reported. Identifiers and words of the text around compress
-away, random strings don't.
+A candidate is a run of 16 or more token characters that holds a letter, has a sensitive word within CONTEXT characters before or
+after it, and is no base span. Its novelty is the number of bytes it adds to the compressed text around it, other copies of it taken
+out, under a dictionary of identifiers and common words, per byte of its own; NOVEL and more is reported. Identifiers and words of the
+text around compress away, random strings don't, however often they are stated.
 
 Edge cases: null and empty texts have no spans; repeated rows are scanned each; null ids stay; empty tables give empty results;
 other columns are not read.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import zstandard
@@ -59,31 +60,32 @@ class Novelty:
         self.pack = zstandard.ZstdCompressor(level=level, dict_data=words, write_content_size=False, write_checksum=False)
 
     def of(self, text: str, start: int, end: int) -> float:
-        """Compressed bytes the string adds to the text before and after it, per byte."""
-        before, own, after = text[max(0, start - 400) : start].encode(), text[start:end].encode(), text[end : end + 200].encode()
-        return (len(self.pack.compress(before + after + own)) - len(self.pack.compress(before + after))) / len(own)
+        """Compressed bytes the string adds to the text before and after it, per byte. Copies of it there don't count."""
+        own = text[start:end]
+        lo, hi = max(0, start - 400), min(len(text), end + 200)
+        # a copy that the edge would cut comes in whole
+        lo = next((k for k in range(lo, max(0, lo - len(own)), -1) if not _token_char(text[k - 1])), max(0, lo - len(own)))
+        hi = next((k for k in range(hi, min(len(text), hi + len(own))) if not _token_char(text[k])), min(len(text), hi + len(own)))
+        around = (text[lo:start].replace(own, "") + text[end:hi].replace(own, "")).encode()
+        return (len(self.pack.compress(around + own.encode())) - len(self.pack.compress(around))) / len(own.encode())
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, limit: float = NOVEL) -> list[tuple[int, int, int]]:
     low = text.lower()
     if not any(w in low for w in _SENSITIVE_WORDS):
         return []
-    out, done = [], 0
-    for m in _SENSITIVE.finditer(text):
-        for c in _CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + CONTEXT + 512)):
-            a, b = c.start(), c.end()
-            if a > m.end() + CONTEXT or a < done:
-                continue
-            if b == m.end() + CONTEXT + 512:  # cut by the window: to its own end
-                b = next(k for k in range(b, len(text) + 1) if k == len(text) or not _token_char(text[k]))
-            own = text[a:b]
-            if not (any("0" <= x <= "9" for x in own) and any(x.isalpha() for x in own)):
-                continue
-            if any(s < b and a < e for s, _, e in base):
-                continue
-            done = b
-            if novelty.of(text, a, b) >= limit:
-                out.append((a, 3, b))
+    said = [m.span() for m in _SENSITIVE.finditer(text)]
+    starts, ends = [a for a, _ in said], [b for _, b in said]
+    out = []
+    for c in _CANDIDATE.finditer(text) if said else ():
+        a, b = c.span()
+        before, after = bisect_left(ends, a - CONTEXT), bisect_left(starts, b)
+        if not (before < len(ends) and ends[before] <= a) and not (after < len(starts) and starts[after] <= b + CONTEXT):
+            continue
+        if not any(x.isalpha() for x in c[0]) or any(s < b and a < e for s, _, e in base):
+            continue
+        if novelty.of(text, a, b) >= limit:
+            out.append((a, 3, b))
     return out
 
 
