@@ -177,6 +177,14 @@ def test_url_filters(spark):
     assert len(got) == 10 and got[8] == got[9]
 
 
+def test_url_filters_reach_hosts_many_links_away(spark):
+    rows = [(0, "http://h0.org/es/", "")] + [(k, f"http://h{k}.z{k}/a", f"<a href='http://h{k - 1}.{'org' if k == 1 else f'z{k - 1}'}/'>") for k in range(1, 13)]
+    got = {r["page_id"]: r for r in url_filters.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(r["verdict"] == "block" for r in got.values())
+    # a chain hands all its rank on
+    assert all(abs(got[k]["distrust"] / (0.15 * 0.85**k) - 1) < 0.01 for k in range(12))
+
+
 def test_decontamination(spark):
     items = spark.createDataFrame([(1, "now Tom has 12 apples and he gives 5 kg to Anna, then Tom eats some"), (2, "one two three four five six seven eight nine"), (3, None)], "item_id long, text string")
     t = ["So Tom has 12 apples and he gives 5 kg to Anna, then Tom eats some", "well Bob has 30 apples and he gives 7 kg to Eve, then Bob eats some", "ONE two, three four five! six seven eight", "one two three four five six seven", "unlike words all the way down to the end of it", *ODD]
