@@ -17,6 +17,8 @@ from pyspark.sql import Row
 from pyspark.sql import types as T
 
 RECORD_ID = "_record_id"
+#: Name of the data file a row was read from, where a scan is asked for it.
+FILE = "_file"
 
 
 class Uri(str):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicate import Always, In, Predicate
-from ..functions.schema import RECORD_ID, TableSchema
+from ..functions.schema import FILE, RECORD_ID, TableSchema
 
 
 @dataclass(frozen=True)
@@ -31,6 +31,9 @@ class Query:
     null_mode: str = "two-valued"
     deleter: object = None
     counter: object = None
+    inline: int = 1000
+    with_files: bool = False
+    cached: bool = False
 
     # building
 
@@ -87,6 +90,14 @@ class Query:
     def with_committed_only(self) -> Query:
         return replace(self, scope="none" if self.scope == "pending" else "committed")
 
+    def within_delta_only(self) -> Query:
+        """Only committed files that no rewrite has made yet."""
+        return replace(self, scope="delta" if self.scope in ("all", "committed") else "none")
+
+    def with_cache(self) -> Query:
+        """Keeps the files this query scans in memory for later ones."""
+        return replace(self, cached=True)
+
     def with_ignore_deleted(self) -> Query:
         return replace(self, ignore_deleted=True)
 
@@ -100,7 +111,7 @@ class Query:
         flat = bound.nnf()
         df = self.source(flat, self)
         if flat != Always(True):
-            big = [p for p in _conjuncts(flat) if isinstance(p, In) and len(p.values) > 1000 and None not in p.values and self.null_mode != "sql"]
+            big = [p for p in _conjuncts(flat) if isinstance(p, In) and len(p.values) > self.inline and None not in p.values and self.null_mode != "sql"]
             for p in big:
                 df = _listed(df, p)
             rest = [p for p in _conjuncts(flat) if p not in big] if big else [bound]
@@ -123,7 +134,24 @@ class Query:
         return self._ordered().select(*[F.col(c) for c in columns])
 
     def record_ids(self) -> DataFrame:
-        return self._ordered().select(RECORD_ID)
+        """Record id and file of the rows."""
+        return replace(self, with_files=True)._ordered().select(RECORD_ID, FILE)
+
+    def rows_with_files(self) -> DataFrame:
+        """The rows with record id and file, unsorted."""
+        return replace(self, with_files=True)._rows()
+
+    def late(self) -> DataFrame:
+        """The result of a sort and take, wide columns read last: the sort sees keys and record ids alone, and only the files of its
+        survivors are read again. For wide rows; it needs record ids that are unique, as stored tables have them."""
+        if not self.sort or self.limit is None:
+            raise ValueError("late needs order_by and take")
+        ids = self._ordered().select(RECORD_ID)
+        keys = F.broadcast(ids) if self.limit <= 1_000_000 else ids
+        again = replace(self, sort=(), limit=None, projection=None)._rows().join(keys, RECORD_ID, "left_semi")
+        sort = [F.desc(p) if down else F.asc(p) for p, down in self.sort]
+        columns = self.projection or [f.name for f in self.schema.struct.fields]
+        return again.orderBy(*sort, F.asc(RECORD_ID)).select(*[F.col(c) for c in columns])
 
     def count(self) -> int:
         if self.predicate == Always(True) and self.counter and (n := self.counter(self)) is not None:

@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import Future
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.schema import RECORD_ID
-from ..sources.manifest import Snapshot, Tombstones
+from ..functions.schema import FILE, RECORD_ID
+from ..sources.manifest import DataFile, Snapshot, Tombstones
 
 
 @dataclass
 class Staged:
-    """A folder of Parquet this transaction wrote: rows with provisional record ids."""
+    """A folder of Parquet this transaction wrote: rows with provisional record ids, and the entries of its files."""
 
     path: str
-    rows: int
+    entries: list[DataFile]
+
+    @property
+    def rows(self) -> int:
+        return sum(f.rows for f in self.entries)
 
 
 @dataclass
@@ -59,14 +64,15 @@ class Transaction:
 
     def rollback(self) -> None:
         self._open()
-        for p in self.pending.values():
-            for s in [*p.staged, *p.dead]:
-                self.db.files.delete(s.path)
-        self._end("rolled back")
-
-    def complete(self) -> int:
-        """Runs triggers, then commits; returns the version. Other commits since the snapshot don't conflict: appends get later
-        record ids, deletes of rows already deleted do nothing."""
+        try:
+            for p in self.pending.values():
+                for s in [*p.staged, *p.dead]:
+                    self.db.files.delete(s.path)
+        finally:
+            self._end("rolled back")
+
+    def _prepared(self) -> dict:
+        """Runs triggers; what the commit holds. Rolls back if that fails."""
         self._open()
         try:
             if self.run_triggers:
@@ -74,13 +80,41 @@ class Transaction:
                     if schema.triggers and self.changed(schema.name):
                         for action in schema.triggers:
                             action(self.db, self)
-            content = self._content()
-        except Exception:
+            return self._content()
+        except BaseException:
+            self.rollback()
+            raise
+
+    def complete(self) -> int:
+        """Runs triggers, then commits; returns the version, which is durable then. Other commits since the snapshot don't conflict:
+        appends get later record ids, deletes of rows already deleted do nothing. A commit that fails rolls back."""
+        return self._settle(self._prepared(), self.db.commit_rebased)
+
+    def complete_async(self) -> Future:
+        """Runs triggers now and commits in the background, with what else is waiting as one version; the version, once durable."""
+        content = self._prepared()
+        self.state = "completing"
+        out: Future = Future()
+
+        def run(commit) -> None:
+            try:
+                out.set_result(self._settle(content, commit))
+            except BaseException as e:
+                out.set_exception(e)
+
+        self.db.background.put(self.snapshot, content, run)
+        return out
+
+    def _settle(self, content: dict, commit) -> int:
+        try:
+            some = content["add"] or content["tombstones"]
+            version = commit(self.snapshot, content) if some else self.snapshot.version
+        except BaseException:
+            self.state = "open"
             self.rollback()
             raise
-        version = self.db.commit_rebased(self.snapshot, content) if content["add"] or content["tombstones"] else self.snapshot.version
         self._end("complete")
-        self.db.after_commit()
+        self.db.after_commit(content)
         return version
 
     def _of(self, table: str) -> Pending:
@@ -104,8 +138,8 @@ class Transaction:
         return ids
 
     def append_df(self, table: str, df: DataFrame) -> int:
-        """Rows of a DataFrame with the table's columns, written by the executors in one pass without a shuffle. Record ids ascend
-        within a task and leave gaps between tasks."""
+        """Rows of a DataFrame with the table's columns, written by the executors in one pass; only a partition key makes a shuffle.
+        Record ids ascend within a task and leave gaps between tasks. One more pass takes the files' statistics."""
         schema = self.db.schema(table)
         p = self._of(table)
         missing = [f.name for f in schema.struct.fields if f.name not in df.columns]
@@ -114,15 +148,31 @@ class Transaction:
         df = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.struct.fields])
         for f in schema.struct.fields:
             if not f.nullable:
-                df = df.withColumn(f.name, F.when(F.col(f.name).isNull(), F.raise_error(F.lit(f"{table}.{f.name} may not be null")).cast(f.dataType)).otherwise(F.col(f.name)))
-        path = f"data/{table}/{uuid.uuid4().hex}"
+                wrong = F.raise_error(F.lit(f"{table}.{f.name} may not be null")).cast(f.dataType)
+                df = df.withColumn(f.name, F.when(F.col(f.name).isNull(), wrong).otherwise(F.col(f.name)))
+        if schema.partition_key:
+            # files hold ranges of the key, which their statistics show to the pruning
+            df = df.repartitionByRange(*schema.partition_key).sortWithinPartitions(*schema.partition_key)
         first = self.next_id.get(table, 1)
-        df.withColumn(RECORD_ID, F.monotonically_increasing_id() + F.lit(first)).write.parquet(self.db.where(path))
-        got = self.db.spark.read.schema(f"{RECORD_ID} long").parquet(self.db.where(path)).agg(F.count("*").alias("n"), F.max(RECORD_ID).alias("last")).first()
-        if got["n"]:
-            self.next_id[table] = got["last"] + 1
-        p.staged.append(Staged(path, got["n"]))
-        return got["n"]
+        stage = self._written(table, df.withColumn(RECORD_ID, self._task_ids(table, first)))
+        if stage.entries:
+            span = self.db.policies.task_ids
+            tasks = -(-(max(f.first + f.rows for f in stage.entries) - first) // span)
+            self.next_id[table] = max(f.first + f.rows for f in stage.entries) if tasks == 1 else first + tasks * span
+        p.staged.append(stage)
+        return stage.rows
+
+    def _task_ids(self, table: str, first: int):
+        """Ids from `first` on, a span for each task."""
+        span = self.db.policies.task_ids
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        over = F.raise_error(F.lit(f"a task appends more than {span} rows to {table}")).cast("long")
+        return F.when(row < span, F.spark_partition_id().cast("long") * span + row + F.lit(first)).otherwise(over)
+
+    def _written(self, table: str, df: DataFrame) -> Staged:
+        path = f"data/{table}/{uuid.uuid4().hex}"
+        df.write.parquet(self.db.where(path))
+        return Staged(path, self.db.described(self.db.schema(table), path))
 
     def _flush(self, table: str) -> None:
         p = self.pending.get(table)
@@ -131,71 +181,70 @@ class Transaction:
             path = f"data/{table}/{uuid.uuid4().hex}"
             df = self.db.spark.createDataFrame([(*r, i) for r, i in zip(p.rows, p.ids, strict=True)], schema.stored_struct())
             df.coalesce(1).write.parquet(self.db.where(path))
-            p.staged.append(Staged(path, len(p.rows)))
+            p.staged.append(Staged(path, self.db.described_rows(schema, path, p.rows, p.ids)))
             p.rows, p.ids = [], []
 
-    def inserted(self, table: str) -> DataFrame:
+    def inserted(self, table: str, with_file: bool = False) -> DataFrame:
         """Rows this transaction appended and did not delete, with their record ids."""
         self._flush(table)
         p = self.pending.get(table)
-        schema = self.db.schema(table)
-        out = None
-        for s in p.staged if p else ():
-            df = self.db.read_stage(s, schema)
-            out = df if out is None else out.unionByName(df)
-        return out if out is not None else self.db.spark.createDataFrame([], schema.stored_struct())
+        return self.db.read_files(self.db.schema(table), [f for s in p.staged for f in s.entries] if p else [], with_file)
 
     def tombstones(self, table: str) -> DataFrame | None:
         p = self.pending.get(table)
         return self.db.spark.read.parquet(*[self.db.where(t.path) for t in p.dead]) if p and p.dead else None
 
     def deleted(self, table: str) -> DataFrame:
-        """Committed rows this transaction deleted."""
-        base = self.db.base_rows(self.snapshot, table)
-        dead = self.tombstones(table)
-        return base.limit(0) if dead is None else base.join(dead, RECORD_ID, "left_semi")
+        """Committed rows this transaction deleted; only the files that held them are read."""
+        schema, dead = self.db.schema(table), self.tombstones(table)
+        if dead is None:
+            return self.db.read_files(schema, [])
+        names = {n for t in self.pending[table].dead for n in t.files}
+        rows = self.db.live_rows(self.snapshot, table, [f for f in self.snapshot.of(table) if f.name in names])
+        return rows.join(dead.select(RECORD_ID), RECORD_ID, "left_semi")
 
     def changed(self, table: str) -> bool:
         p = self.pending.get(table)
         return bool(p and (p.rows or any(s.rows for s in p.staged) or any(t.rows for t in p.dead)))
 
     def delete_ids(self, table: str, ids: DataFrame) -> int:
-        """ids: record ids of rows this transaction sees. Own rows go at once; committed ones get tombstones."""
+        """ids: record id and file of rows this transaction sees. Own rows go at once; committed ones get tombstones."""
         self._flush(table)
         p = self._of(table)
         path = f"tombstones/{table}/{uuid.uuid4().hex}"
-        ids.select(F.col(RECORD_ID).cast("long").alias(RECORD_ID)).distinct().write.parquet(self.db.where(path))
-        found = self.db.spark.read.schema(f"{RECORD_ID} long").parquet(self.db.where(path))
-        n = found.count()
-        if not n:
+        seen = Observation()
+        ids.select(F.col(RECORD_ID).cast("long").alias(RECORD_ID), FILE).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(self.db.where(path))
+        if not seen.get.get("n"):
             self.db.files.delete(path)
             return 0
-        own = 0
-        if p.staged:
-            staged = []
-            for s in p.staged:
-                rows = self.db.read_stage(s, self.db.schema(table))
-                hit = rows.join(found, RECORD_ID, "left_semi").count()
-                own += hit
-                if not hit:
-                    staged.append(s)
-                    continue
-                if hit < s.rows:
-                    fresh = f"data/{table}/{uuid.uuid4().hex}"
-                    rows.join(found, RECORD_ID, "left_anti").write.parquet(self.db.where(fresh))
-                    staged.append(Staged(fresh, s.rows - hit))
-                self.db.files.delete(s.path)
-            p.staged = staged
-        if own == n:
+        found = self.db.spark.read.schema(f"{RECORD_ID} long, {FILE} string").parquet(self.db.where(path))
+        hit = {r[FILE]: r["n"] for r in found.groupBy(FILE).agg(F.count("*").alias("n")).collect()}  # a row per file
+        own = {f.name for s in p.staged for f in s.entries} & set(hit)
+        staged = []
+        for s in p.staged:
+            if not own.intersection(f.name for f in s.entries):
+                staged.append(s)
+                continue
+            left = self.db.read_files(self.db.schema(table), s.entries).join(found, RECORD_ID, "left_anti")
+            staged.append(self._written(table, left))
+            self.db.files.delete(s.path)
+        p.staged = [s for s in staged if s.rows]
+        committed = {name: n for name, n in hit.items() if name not in own}
+        if own and committed:
+            rest = f"tombstones/{table}/{uuid.uuid4().hex}"
+            found.where(~F.col(FILE).isin(*own)).write.parquet(self.db.where(rest))
             self.db.files.delete(path)
+            path = rest
+        if committed:
+            p.dead.append(Tombstones(table, path, sum(committed.values()), committed, self.db.now()))
         else:
-            p.dead.append(Tombstones(table, path, n - own))
-        return n
+            self.db.files.delete(path)
+        return sum(hit.values())
 
     def _content(self) -> dict:
         for table in list(self.pending):
             self._flush(table)
-        add = [f.to_json() for table, p in self.pending.items() for f in self.db.described(table, [s for s in p.staged if s.rows])]
+        add = [f.to_json() for p in self.pending.values() for s in p.staged for f in s.entries]
         dead = [t.to_json() for p in self.pending.values() for t in p.dead]
         ids = {t: self.next_id[t] for t in self.pending if t in self.next_id}
         return {"add": add, "remove": [], "tombstones": dead, "next_id": ids}

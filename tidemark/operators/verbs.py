@@ -55,6 +55,13 @@ def anti_join(df: DataFrame, keys: DataFrame, column: str, key: str) -> DataFram
     return df.join(keys.select(F.col(key).alias("key_")), F.col(column) == F.col("key_"), "left_anti")
 
 
+def lookup_join(df: DataFrame, other: DataFrame, column: str, key: str) -> DataFrame:
+    """Rows with those of another query whose key they name, instead of a lookup a row. Clashing names of the other get its key's
+    name in front."""
+    fields = [F.col(c).alias(c if c not in df.columns else f"{key}_{c}") for c in other.columns]
+    return df.join(other.select(F.col(key).alias("key_"), *fields), F.col(column) == F.col("key_")).drop("key_")
+
+
 def signed_totals(inserted: DataFrame, deleted: DataFrame, keys: list[str], value: str | Column | None = None, name: str = "delta") -> DataFrame:
     """Sums (or counts) of inserted rows less those of deleted rows: what to add to a maintained summary."""
     measure = F.lit(1) if value is None else (F.col(value) if isinstance(value, str) else value)
