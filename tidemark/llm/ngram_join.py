@@ -3,13 +3,15 @@
 A document's set holds its distinct n-word shingles. Equal sets are one class from the start. Classes of equal size and equal
 prefix are one group, and only groups meet: by a shared prefix shingle (prefixes under the global rarity order of words.py),
 then by length and position filters. Prefixes are longer than one common shingle needs, by a share of the set's size, and a pair
-must then share as many shingles more: long texts with one passage in common don't meet. Group pairs expand to their members; a parity
-sketch of half a bit a shingle or more, whose differing bits never outnumber the differing shingles, rules most pairs out, and the
-whole sets of the others are compared.
+must then share as many shingles more: long texts with one passage in common don't meet. A parity sketch of about four bits a
+shingle, whose differing bits never outnumber the differing shingles, rules most pairs out; whole sets of the others are compared.
 
-What is asked for is each document's component, so links inside a component need not all be found. Pass one tries, for each
-shared shingle, each group against one or two hubs of that shingle: linear in the entries. Pass
-two tries every remaining candidate pair whose members are in different components; after it no link is missing.
+What is asked for is each document's component, so links inside a component need not all be found. The first pass tries each
+group against one or two hubs of each shingle it shares: linear in the entries. What then is left are pairs of classes in different
+components. A shingle of up to SMALL classes pairs them as they are. The classes of all larger ones are gathered by hub, once for
+all shingles of that hub, as families; a family is dealt out in squares of at most two blocks, and within a square sketches are
+compared by numpy, so a pair that they rule out is no row of any join. The first rounds send, for each class and component, the
+nearest pairs only; components merge; the last round sends every pair that still crosses. After it no link is missing.
 
 Edge cases: null or empty texts, or texts of white space, have size 0 and are linked with nothing; null ids keep a row with a
 null component and link nothing; repeated rows are of one class; empty tables give empty results; other columns are not read.
@@ -22,13 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_chunks, parts, small_batches, stored, table, text_bytes, with_ids
+from .common import batches_of, in_chunks, parts, small_batches, stored, table, text_bytes, with_ids
 from .components import components
 from .words import SKETCH_BITS, bucket, frequency_sketch, id_filter, mixed, passes_filter, shingle_hashes, word_hashes
 
 
 #: A set of n shingles shares 1 + n // COMMON prefix shingles with any similar set as large or larger.
 COMMON = 20
+#: A shingle of more classes than this is left to families.
+SMALL = 16
+#: Classes of a family's block: at least, at most, and for each root of the family's.
+BLOCK = (256, 8192, 8)
+#: Words of the widest sketch, 64 bits each.
+WIDEST = 512
+#: Pairs sent for each class and component, round by round; 0: all that are left.
+ROUNDS = (2, 16, 0)
+#: Sketch words that are compared at a time, and pairs that are held before they go out or are thinned.
+CELLS, HELD = 1 << 18, 1 << 17
 
 
 def _shingles(size: int):
@@ -54,8 +66,8 @@ def prefix_length(n, percent: int):
 
 
 def sketch_bits(n: int) -> int:
-    """A power of two, at least half of n."""
-    return 1 << max(6, ((n - 1) // 2).bit_length())
+    """A power of two, at least four times n but for very large sets."""
+    return min(64 * WIDEST, 1 << max(6, (4 * n - 1).bit_length()))
 
 
 def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -118,8 +130,8 @@ def _columns(batch, names):
 
 
 def shared_entries(entries: DataFrame) -> DataFrame:
-    """Entries (token, gid, n, pos), sorted by token within partitions -> those whose token has another entry. Streams."""
-    names = ("token", "gid", "n", "pos")
+    """Entries (token, gid, n, pos, m), sorted by token within partitions -> those whose token has another entry. Streams."""
+    names = ("token", "gid", "n", "pos", "m")
 
     def made(batches):
         held = None  # the last entry seen, and whether the one before it has its token
@@ -143,64 +155,194 @@ def shared_entries(entries: DataFrame) -> DataFrame:
         if held is not None and held[1]:
             yield held[0]
 
-    return entries.mapInArrow(made, "token int, gid long, n int, pos int")
+    return entries.mapInArrow(made, "token int, gid long, n int, pos int, m int")
 
 
-def hub_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Each entry with its token's hub: the group that shares the most of its prefix, so that near copies of one text meet in one
-    hub under nearly all their tokens. Linear in the entries; hubs come from a pre-aggregation by token."""
+def with_hubs(shared: DataFrame) -> DataFrame:
+    """Each entry with its token's hub, lowest group and number of classes. The hub is the group that shares the most of its prefix,
+    so that near copies of one text meet in one hub under nearly all their tokens. Hubs come from a pre-aggregation by token."""
     central = shared.groupBy("gid").agg((F.count("*") / F.max("n")).alias("central")).withColumnRenamed("gid", "gid_")
-    ranked = shared.join(central, F.col("gid") == F.col("gid_")).select("token", "gid", "n", "pos", "central")
-    hub = ranked.groupBy(F.col("token").alias("token_")).agg(F.max_by(F.struct("gid", "n", "pos"), F.struct("central", F.negative("gid"))).alias("hub"), F.min_by(F.struct("gid", "n", "pos"), "gid").alias("low"))
-    met = shared.join(hub, F.col("token") == F.col("token_"))
-    need = lambda n: F.ceil(F.lit(percent) * (F.col("n") + n) / F.lit(100 + percent) - 1e-9)
+    ranked = shared.join(central, F.col("gid") == F.col("gid_")).select("token", "gid", "n", "pos", "m", "central")
+    one = F.struct("gid", "n", "pos")
+    hubs = ranked.groupBy(F.col("token").alias("token_")).agg(
+        F.max_by(one, F.struct("central", F.negative("gid"))).alias("hub"), F.min_by(one, "gid").alias("low"), F.sum("m").alias("total")
+    )
+    return shared.join(hubs, F.col("token") == F.col("token_")).drop("token_")
+
+
+def hub_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of groups of which one is the other's hub, or lowest group, under some token, and the filters allow."""
 
     def fits(x: str):
         n, pos = F.col(f"{x}.n"), F.col(f"{x}.pos")
-        return (F.col("gid") != F.col(f"{x}.gid")) & (F.least(F.col("n"), n) * 100 >= percent * F.greatest(F.col("n"), n)) & (F.least(F.col("pos"), pos) + F.least(F.col("n") - F.col("pos"), n - pos) >= need(n))
+        need = F.ceil(F.lit(percent) * (F.col("n") + n) / F.lit(100 + percent) - 1e-9)
+        size = F.least(F.col("n"), n) * 100 >= percent * F.greatest(F.col("n"), n)
+        return (F.col("gid") != F.col(f"{x}.gid")) & size & (F.least(F.col("pos"), pos) + F.least(F.col("n") - F.col("pos"), n - pos) >= need)
 
     mates = F.array_distinct(F.array_compact(F.array(F.when(fits("hub"), F.col("hub.gid")), F.when(fits("low"), F.col("low.gid")))))
     met = met.select("gid", mates.alias("mates")).distinct().select("gid", F.explode("mates").alias("mate"))
-    return met.select(F.least("gid", "mate").alias("g1"), F.greatest("gid", "mate").alias("g2")).distinct()
-
-
-def rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Entries (token, gid, comp, n, pos), a run's rows together -> all pairs of a run in different components that pass the filters,
-    and the number of runs that a pair must be found in."""
-
-    def run(c, block=2048):
-        order = np.lexsort((c[1], c[3]))
-        _, gid, comp, n, pos = (x[order] for x in c)
-        for a in range(0, len(gid), block):
-            e = min(len(gid), a + block)
-            # by size: partners end where they are too long
-            stop = int(np.searchsorted(n, n[e - 1] * 100 // percent, "right"))
-            for b in range(a, stop, block):
-                f = min(stop, b + block)
-                i, j = np.nonzero(comp[a:e, None] != comp[None, b:f])
-                i, j = i + a, j + b
-                keep = (i < j) & (n[i] * 100 >= percent * n[j])
-                i, j = i[keep], j[keep]
-                most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-                keep = most >= overlap_needed(n[i], n[j], percent)
-                if keep.any():
-                    i, j = i[keep], j[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gid[i], comp[i], gid[j], comp[j], common_needed(n[i]))], ["g1", "c1", "g2", "c2", "runs"])
+    return met.select(F.least("gid", "mate").alias("a"), F.greatest("gid", "mate").alias("b")).distinct()
+
+
+def small_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, cls, comp, n, pos), a run's at most SMALL rows together -> pairs (a, b) of classes in different components that pass
+    the filters under as many tokens as they must share."""
+    names = ("token", "cls", "comp", "n", "pos")
+
+    def pairs(x):
+        token, cls, comp, n, pos = x
+        for k in range(1, SMALL):
+            at = np.flatnonzero(token[k:] == token[:-k]) if len(token) > k else np.zeros(0, np.int64)
+            if not len(at):
+                return
+            at = at[comp[at] != comp[at + k]]
+            n1, n2, p1, p2 = n[at], n[at + k], pos[at], pos[at + k]
+            low = np.minimum(n1, n2)
+            keep = (low * 100 >= percent * np.maximum(n1, n2)) & (np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2) >= overlap_needed(n1, n2, percent))
+            a, b = cls[at[keep]], cls[at[keep] + k]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(a, b), np.maximum(a, b), common_needed(low[keep]))], ["a", "b", "runs"])
 
     def made(batches):
         held = None
         for batch in batches:
-            x = _columns(batch, ("token", "gid", "comp", "n", "pos"))
+            if not batch.num_rows:
+                continue
+            x = _columns(batch, names)
             x = x if held is None else [np.concatenate(p) for p in zip(held, x, strict=True)]
-            cuts = _runs(x[0])
-            for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
-                if b - a > 1:
-                    yield from run([c[a:b] for c in x])
-            held = [c[cuts[-2] :] for c in x] if len(x[0]) else None
-        if held is not None and len(held[0]) > 1:
-            yield from run(held)
+            cut = int(np.searchsorted(x[0], x[0][-1]))
+            yield from pairs([c[:cut] for c in x])
+            held = [c[cut:] for c in x]
+        if held is not None:
+            yield from pairs(held)
+
+    found = rows.mapInArrow(made, "a long, b long, runs long").groupBy("a", "b").agg(F.count("*").alias("met"), F.max("runs").alias("runs"))
+    return found.where("met >= runs").select("a", "b")
+
+
+class Side:
+    """Classes of a square by size, their sketches in a matrix for each width."""
+
+    def __init__(self, cls, comp, n, sketch):
+        order = np.lexsort((cls, n))
+        self.cls, self.comp, self.n = cls[order], comp[order], n[order]
+        sketch = [sketch[k] for k in order]
+        width = np.array([len(x) for x in sketch], np.int64) // 8
+        cut = _runs(width) if len(width) else [0]
+        self.blocks = [(int(a), np.frombuffer(b"".join(sketch[a:b]), np.uint64).reshape(b - a, -1)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def near_pairs(left: Side, right: Side, percent: int, same: bool, strict: bool):
+    """(i, j, differing bits) of pairs, left one no larger (strict: smaller), in different components that size and sketch allow; same:
+    both sides are one, and each pair is met once."""
+    for a0, x in left.blocks:
+        step = max(1, min(64, CELLS // (16 * x.shape[1])))
+        for a in range(0, len(x), step):
+            i = np.arange(a0 + a, a0 + min(a + step, len(x)))
+            lo = int(np.searchsorted(right.n, left.n[i[0]], "right" if strict else "left"))
+            hi = int(np.searchsorted(right.n, left.n[i[-1]] * 100 // percent, "right"))
+            lo = max(lo, int(i[0]) + 1) if same else lo
+            for b0, y in right.blocks:
+                wide = max(1, CELLS // (len(i) * x.shape[1]))
+                for b in range(max(lo, b0), min(hi, b0 + len(y)), wide):
+                    j = np.arange(b, min(b + wide, hi, b0 + len(y)))
+                    n1, n2 = left.n[i][:, None], right.n[j][None, :]
+                    ok = (left.comp[i][:, None] != right.comp[j][None, :]) & (n1 * 100 >= percent * n2) & ((i[:, None] < j[None, :]) if same else (n1 < n2) | (not strict and n1 == n2))
+                    if not ok.any():
+                        continue
+                    k1, k2 = _folded(x[i - a0], y.shape[1]), _folded(y[j - b0], x.shape[1])
+                    far = np.bitwise_count(k1[:, None, :] ^ k2[None, :, :]).sum(2, dtype=np.int64)
+                    p, q = np.nonzero(ok & (far <= n1 + n2 - 2 * overlap_needed(n1, n2, percent)))
+                    if len(p):
+                        yield i[p], j[q], far[p, q]
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray, best: int) -> np.ndarray:
+    """Which pairs are among the `best` nearest of either of their ends."""
+    out = np.zeros(len(a), bool)
+    for end in (a, b):
+        order = np.lexsort((far, end))
+        e = end[order]
+        out[order] |= np.arange(len(e)) - np.searchsorted(e, e) < best
+    return out
+
+
+def square_pairs(rows: DataFrame, percent: int, best: int) -> DataFrame:
+    """Rows (hub, x, y, side, cls, comp, n, sketch), a square's together -> (a, b, cut): pairs of classes in different components that size
+    and sketch allow, of each class the `best` nearest (0: all); cut: the square had more."""
+
+    def square(held):
+        cls, comp, n, side = (np.concatenate([h[k] for h in held]) for k in range(4))
+        sketch = [s for h in held for s in h[4]]
+        if (comp == comp[0]).all():
+            return
+        if held[0][5]:
+            one = Side(cls, comp, n, sketch)
+            turns = [(one, one, True, False)]
+        else:
+            first = side == 0
+            one, two = (Side(cls[w], comp[w], n[w], [sketch[k] for k in np.flatnonzero(w)]) for w in (first, ~first))
+            turns = [(one, two, False, False), (two, one, False, True)]
+        a, b, far, cut = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), False
+
+        def out(a, b, cut):
+            for k in range(0, len(a), 50_000):
+                s = slice(k, k + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[s], b[s])), pa.array(np.maximum(a[s], b[s])), pa.array(np.full(len(a[s]), cut))], ["a", "b", "cut"])
+
+        for left, right, same, strict in turns:
+            for i, j, d in near_pairs(left, right, percent, same, strict):
+                a, b, far = np.concatenate([a, left.cls[i]]), np.concatenate([b, right.cls[j]]), np.concatenate([far, d])
+                if len(a) > HELD:
+                    if best:
+                        keep = _nearest(a, b, far, best)
+                        cut |= not keep.all()
+                        a, b, far = a[keep], b[keep], far[keep]
+                    if not best or len(a) > HELD // 2:
+                        yield from out(a, b, cut)
+                        a, b, far = a[:0], b[:0], far[:0]
+        if best and len(a):
+            keep = _nearest(a, b, far, best)
+            cut |= not keep.all()
+            a, b = a[keep], b[keep]
+        yield from out(a, b, cut)
 
-    return entries.mapInArrow(made, "g1 long, c1 long, g2 long, c2 long, runs long")
+    def made(batches):
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hub, x, y = (batch.column(c).to_numpy() for c in ("hub", "x", "y"))
+            new = np.flatnonzero((hub[1:] != hub[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            edges = [0, *new.tolist(), batch.num_rows]
+            cls, comp, n, side = (batch.column(c).to_numpy().astype(np.int64) for c in ("cls", "comp", "n", "side"))
+            sketch = batch.column("sketch").to_pylist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                key = (hub[a], x[a], y[a])
+                if key != last and held:
+                    yield from square(held)
+                    held = []
+                last = key
+                held.append((cls[a:b], comp[a:b], n[a:b], side[a:b], sketch[a:b], x[a] == y[a]))
+        if held:
+            yield from square(held)
+
+    return rows.mapInArrow(made, "a long, b long, cut boolean")
+
+
+def crossing(kin: DataFrame, placed: DataFrame, members: DataFrame, percent: int, best: int) -> DataFrame:
+    """Families kin(gid, hub), classes' components placed(cls, gid, n, comp) -> pairs (a, b, cut) to try, from families of more than one
+    component. Blocks grow with the root of the family, so rows that are sent grow less than its square."""
+    spark = kin.sparkSession
+    family = kin.join(placed.select("gid", "cls", "comp", "n"), "gid").select("hub", "cls", "comp", "n")
+    block = F.greatest(F.lit(float(BLOCK[0])), F.least(F.lit(float(BLOCK[1])), BLOCK[2] * F.sqrt("size")))
+    large = family.groupBy(F.col("hub").alias("hub_")).agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    large = large.where("lo <> hi").select("hub_", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    rows = family.join(large, F.col("hub") == F.col("hub_")).withColumn("own", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
+    rows = rows.join(members.select(F.col("cls").alias("cls_"), "sketch"), F.col("cls") == F.col("cls_"))
+    rows = rows.select("hub", "cls", "comp", "n", "sketch", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    rows = rows.select("hub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "comp", "n", "sketch")
+    rows = rows.repartition(parts(spark), "hub", "x", "y").sortWithinPartitions("hub", "x", "y")
+    return square_pairs(rows, percent, best)
 
 
 def _folded(x: np.ndarray, width: int) -> np.ndarray:
@@ -233,12 +375,11 @@ def plausible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs(a, b) of classes those whose whole sets are similar enough. members(cls, rep) names a document of each class.
+    """Of stored pairs(a, b) of classes those whose whole sets are similar enough. members(cls, rep) names a document of each class.
 
     Sets are made where documents are read; a bitmap of the wanted ids keeps most of the others from being made and sent.
     """
     hashes = _shingles(size)
-    pairs = stored(plausible(pairs, members, percent))
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     wanted = members.join(wanted, "cls", "left_semi").select("rep")
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
@@ -274,49 +415,48 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     f = stored(features(docs, size, percent))
-    live = f.where("n > 0 and doc_id is not null").withColumn("key", F.xxhash64("n", "prefix"))
-    reps = live.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("key").alias("key"), F.first("sketch").alias("sketch"))
-    reps = stored(reps)
-    # groups: equal size, equal prefix
-    groups = stored(reps.groupBy("key").agg(F.min("rep").alias("gid")))
-    members = stored(reps.join(groups, "key").select("cls", "rep", "gid", "n", "sketch"))
-    heads = stored(members.groupBy("gid").agg(F.min("cls").alias("head")))
-    chosen = live.select("doc_id", "key", "n", "prefix").join(groups.withColumnRenamed("key", "key_"), (F.col("doc_id") == F.col("gid")) & (F.col("key") == F.col("key_")))
-    entries = chosen.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", F.col("n").cast("int").alias("n"), "pos")
-    entries = entries.repartition(parts(spark), "token").sortWithinPartitions("token")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    shared = stored(shared_entries(entries))
-    small_batches(spark)
-    first = hub_pairs(shared, percent)
-    first = first.join(heads.select(F.col("gid").alias("g1"), F.col("head").alias("a")), "g1").join(heads.select(F.col("gid").alias("g2"), F.col("head").alias("b")), "g2").select("a", "b")
-    inside = members.join(heads, "gid").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
-    links = stored(verified(docs, members, first.unionByName(inside), size, percent))
-    comp = stored(components(links))
-    # pass two: groups by component, every candidate pair that still crosses components
-    placed = members.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "rep", "gid", F.coalesce("component", "cls").alias("comp"))
-    placed = stored(placed)
-    runs = shared.select("token", "gid", "n", "pos").distinct().join(placed.select("gid", "comp").distinct(), "gid").select("token", "gid", "comp", "n", "pos")
-    runs = stored(runs)
-    crossing = runs.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    left = runs.join(crossing, "token", "left_semi").repartition(parts(spark), "token").sortWithinPartitions("token")
-    found = rest_pairs(left, percent).groupBy("g1", "c1", "g2", "c2").agg(F.count("*").alias("met"), F.max("runs").alias("runs"))
-    found = stored(found.where("met >= runs").select("g1", "c1", "g2", "c2"))
-    small_batches(spark)
-    # members of one group in different components: no shared-token run needed
-    alone = placed.select("gid", "comp").distinct()
-    same = alone.join(alone.select("gid", F.col("comp").alias("comp2")), "gid").where("comp < comp2").select(F.col("gid").alias("g1"), F.col("comp").alias("c1"), F.col("gid").alias("g2"), F.col("comp2").alias("c2"))
-    wide = found.unionByName(same)
-    m1 = placed.select(F.col("cls").alias("a"), F.col("gid").alias("g1"), F.col("comp").alias("c1"))
-    m2 = placed.select(F.col("cls").alias("b"), F.col("gid").alias("g2"), F.col("comp").alias("c2"))
-    more = verified(docs, members, wide.join(m1, ["g1", "c1"]).join(m2, ["g2", "c2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), size, percent)
-    # components are bridged by their labels
-    bridge = more.join(placed.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(placed.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    over = components(bridge).select(F.col("node").alias("comp"), F.col("component").alias("top"))
-    final = placed.join(over, "comp", "left").select("cls", "rep", F.coalesce("top", "comp").alias("comp"))
-    least = final.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = final.join(least, "comp").select(F.col("cls").alias("cls_"), "component_id")
-    return f.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(named, F.when(F.col("n_shingles") > 0, F.col("cls")) == F.col("cls_"), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    live = f.where("n > 0 and doc_id is not null")
+    one = F.first(F.struct("n", F.xxhash64("n", "prefix").alias("key"), "sketch", "prefix")).alias("x")
+    reps = stored(live.groupBy("cls").agg(F.min("doc_id").alias("rep"), one).select("cls", "rep", "x.*"))
+    # groups: equal size, equal prefix; named by their least class, whose prefix is theirs
+    groups = reps.groupBy("key").agg(F.min("cls").alias("gid"), F.count("*").cast("int").alias("m"))
+    members = stored(reps.join(groups, "key").select("cls", "rep", "gid", "m", "n", "sketch", F.when(F.col("cls") == F.col("gid"), F.col("prefix")).alias("prefix")))
+    entries = members.where("cls = gid").select("gid", "n", "m", F.posexplode("prefix").alias("pos", "token"))
+    entries = entries.select("token", "gid", F.col("n").cast("int").alias("n"), "pos", "m").repartition(parts(spark), "token").sortWithinPartitions("token")
+    with batches_of(spark, 20_000):
+        shared = stored(shared_entries(entries))
+    met = stored(with_hubs(shared))
+    inside = members.where("cls <> gid").select(F.least("cls", "gid").alias("a"), F.greatest("cls", "gid").alias("b"))
+    first = plausible(hub_pairs(met, percent).unionByName(inside), members, percent)
+    links = verified(docs, members, stored(first), size, percent)
+    comp = components(links).select(F.col("node").alias("cls_"), "component")
+    placed = members.select("cls", "gid", "n").join(comp, F.col("cls") == F.col("cls_"), "left")
+    placed = stored(placed.select("cls", "gid", "n", F.coalesce("component", "cls").alias("comp")))
+    kin = met.where(F.col("total") > SMALL).select("gid", F.col("hub.gid").alias("hub"))
+    kin = stored(kin.unionByName(members.where("m > 1").select("gid", F.col("gid").alias("hub"))).distinct())
+    for turn, best in enumerate(ROUNDS):
+        with batches_of(spark, 2_000):
+            sent = stored(crossing(kin, placed, members, percent, best))
+        pairs = sent.select("a", "b")
+        if not turn:
+            small = met.where(F.col("total") <= SMALL).select("token", "gid", "pos").join(placed, "gid").select("token", "cls", "comp", F.col("n").cast("int").alias("n"), "pos")
+            with batches_of(spark, 20_000):
+                small = stored(small_pairs(small.repartition(parts(spark), "token").sortWithinPartitions("token"), percent))
+            pairs = pairs.unionByName(plausible(small, members, percent))
+        pairs = stored(pairs.distinct())
+        if not pairs.isEmpty():
+            more = verified(docs, members, pairs, size, percent)
+            at = placed.select(F.col("cls").alias("cls_"), "comp")
+            bridge = more.join(at, F.col("a") == F.col("cls_")).select("b", F.col("comp").alias("ca")).join(at, F.col("b") == F.col("cls_")).select(F.col("ca").alias("a"), F.col("comp").alias("b"))
+            over = components(bridge).select(F.col("node").alias("comp_"), F.col("component").alias("top"))
+            placed = stored(placed.join(over, F.col("comp") == F.col("comp_"), "left").select("cls", "gid", "n", F.coalesce("top", "comp").alias("comp")))
+        if sent.where("cut").isEmpty():
+            break
+    final = members.select("cls", "rep").join(placed.select(F.col("cls").alias("cls_"), "comp"), F.col("cls") == F.col("cls_")).select("cls", "rep", "comp")
+    least = final.groupBy(F.col("comp").alias("comp_")).agg(F.min("rep").alias("component_id"))
+    named = final.join(least, F.col("comp") == F.col("comp_")).select(F.col("cls").alias("cls_"), "component_id")
+    found = f.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(named, F.when(F.col("n_shingles") > 0, F.col("cls")) == F.col("cls_"), "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
