@@ -67,6 +67,24 @@ def test_ngram_join(spark, size, percent):
     assert got == brute_components(list(enumerate(t)), size, percent)
 
 
+@pytest.mark.parametrize(("small", "block", "rounds"), [(2, (2, 8, 0), (1, 0)), (0, (256, 8192, 8), (0,))])
+def test_ngram_join_families(spark, monkeypatch, small, block, rounds):
+    """Near copies around the threshold: families, squares and rounds lose no link."""
+    for name, value in (("SMALL", small), ("BLOCK", block), ("ROUNDS", rounds), ("HELD", 4), ("CELLS", 64)):
+        monkeypatch.setattr(ngram_join, name, value)
+    r = random.Random(7)
+    base = [f"w{r.randrange(400)}" for _ in range(90)]
+    t = texts(60, seed=8)
+    for _ in range(90):
+        w = base[:]
+        for _ in range(r.choice([0, 1, 2, 3, 4, 6])):
+            w[r.randrange(len(w))] = f"v{r.randrange(900)}"
+        t.append(" ".join(w))
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.joined(frame(spark, t), 4, 85).collect()}
+    want = brute_components(list(enumerate(t)), 4, 85)
+    assert got == want and len({c for k, (_, c) in want.items() if k >= 60}) > 10
+
+
 def test_ngram_join_repeated_rows_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (0, "a b c d e f")], "doc_id long, text string")
     assert sorted(((r[0], r[2]) for r in ngram_join.joined(df).collect()), key=str) == [(0, 0), (1, 0), (1, 0), (None, None)]
@@ -99,9 +117,10 @@ def brute_lines(rows, percent):
     return dict(out)
 
 
-@pytest.mark.parametrize(("small", "best"), [(16, 8), (2, 1)])
-def test_line_dedup(spark, monkeypatch, small, best):
-    monkeypatch.setattr(line_dedup, "SMALL", small)
+@pytest.mark.parametrize(("run", "spread", "best"), [(4096, 16, 4), (4, 0, 1)])
+def test_line_dedup(spark, monkeypatch, run, spread, best):
+    monkeypatch.setattr(line_dedup, "RUN", run)
+    monkeypatch.setattr(line_dedup, "SPREAD", spread)
     monkeypatch.setattr(line_dedup, "BEST", best)
     t = texts(seed=3)
     want = brute_lines(list(enumerate(t)), 80)

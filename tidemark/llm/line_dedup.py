@@ -2,12 +2,13 @@
 
 A line's set holds its distinct lower-cased words. A line goes if some line before it, in order of (doc_id, line number), has
 Jaccard similarity of `percent` hundredths or more, whether or not that one stays. Tokens are ordered by rarity; a line is
-indexed under its prefix; lines that share a prefix token meet if the length and position filters and a parity sketch
-(whose differing bits never outnumber the differing tokens; 64 bits, four times as many for lines of LONG words) allow it; what remains is verified on whole sets.
+indexed under its prefix; lines that share a prefix token meet if the length and position filters and a parity sketch of about two
+bits a token (whose differing bits never outnumber the differing tokens) allow it; what remains is verified on whole sets.
 
-Equal sets collapse while a token's sorted run streams by: their first line alone stays in the run, the others are removed at
-once. In a run of over SMALL lines each line takes its BEST nearest earlier ones first; a line that had more and isn't removed
-by those is compared with all of them in a second pass, so no pair is lost.
+Entries come sorted by token. Equal sets collapse while a token's run streams by: their first line alone stays in the run, the
+others are removed at once. The pairs of a run that length allows are looked at in blocks of at most PAIRS. A run of over RUN lines
+isn't paired there: its lines go out again, and squares of two blocks of them are dealt to many tasks. Each line takes its BEST
+nearest earlier ones; a line that had more and isn't removed by those is compared with all of them in a second pass, so no pair is lost.
 
 Edge cases: lines without words always stay; null and empty texts have no lines; rows with a null doc_id neither lose nor
 remove lines; rows that share a doc_id count as one document, lines of one number standing or falling together; a text that
@@ -21,15 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_chunks, parts, small_batches, stored, table, text_bytes, with_ids
-from .words import frequency_sketch, id_filter, mixed, passes_filter, word_hashes
+from .common import batches_of, in_chunks, parts, small_batches, stored, table, text_bytes, with_ids
+from .words import filter_place, frequency_sketch, id_filter, mixed, word_hashes
 
 PERCENT = 80
-SMALL = 16
-BEST = 8
-LONG = 100
+#: Candidates that a line sends to verification first, nearest first.
+BEST = 4
+#: Lines of a run, or of a block of a longer run, that are paired in one task.
+RUN = 4096
+#: Blocks of a longer run have this many lines for each root of the run's, and half of RUN at least.
+SPREAD = 16
+#: Pairs looked at, and held, at a time.
+PAIRS = 1 << 17
+#: Words of the widest sketch, 64 bits each.
+WIDEST = 64
 _LINES = 1 << 16
-_SKETCH = ("s0", "s1", "s2", "s3")
+#: An entry's words: set digest, document, line << 32 | set size, late << 32 | position; the sketch follows.
+_HEAD = 4
 
 
 def line_bounds(data: np.ndarray, bounds: np.ndarray):
@@ -47,11 +56,25 @@ def needed(n1, n2, percent):
     return -((-percent * (n1 + n2)) // (100 + percent))
 
 
-def index_entries(data: np.ndarray, bounds: np.ndarray, level: np.ndarray, percent: int, long: int = LONG):
-    """Prefix entries of all lines: text, line number, token, sig, four words of sketch, n, pos."""
+def sketch_words(n: np.ndarray) -> np.ndarray:
+    """A power of two, a word for each 32 tokens or fewer."""
+    return np.minimum(WIDEST, 1 << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64))
+
+
+def _sketches(token: np.ndarray, begin: np.ndarray, n: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Parity sketches of sets in a row, one after the other."""
+    bits = 64 * width
+    at = np.cumsum(bits) - bits
+    cell = np.repeat(at, n) + (token & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64)
+
+
+def index_entries(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, level: np.ndarray, percent: int, wanted=None):
+    """Prefix entries of all lines, in parts: tokens, words of all entries, and where each entry's begin. wanted: bitmaps of tokens to
+    make entries of, and of lines to mark as late."""
     start, of, number = line_bounds(data, bounds)
     h, _, line = word_hashes(data, np.append(start, len(data)))
-    out = []
     for l0 in range(0, len(start), _LINES):
         a, b = np.searchsorted(line, (l0, l0 + _LINES))
         if a == b:
@@ -62,20 +85,40 @@ def index_entries(data: np.ndarray, bounds: np.ndarray, level: np.ndarray, perce
         begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         n = np.diff(np.append(begin, len(at)))
         sig = mixed(np.add.reduceat(mixed(token), begin) + n.astype(np.uint64))
-        bit, part = np.uint64(1) << (token & np.uint64(63)), (token >> np.uint64(6)) & np.uint64(3)
-        parts_ = [np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), begin) for k in range(4)]
-        # short lines have one word of sketch, the four folded together
-        parts_ = [np.where(n >= long, parts_[0], parts_[0] ^ parts_[1] ^ parts_[2] ^ parts_[3]), *[np.where(n >= long, x, np.uint64(0)) for x in parts_[1:]]]
+        width = sketch_words(n)
+        sketch, sketch_at = _sketches(token, begin, n, width), np.cumsum(width) - width
         y = np.sort((at.astype(np.uint64) << np.uint64(48)) | (level[(token >> np.uint64(30)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (token >> np.uint64(8)))
         size = n - (-(-percent * n // 100)) + 1
         # sets of fewer than k words, where no other size and no other set is similar enough, are found as equals only
         size = np.where(100 * (n - 1) < percent * n, np.where(100 * n < percent * (n + 1), 1, size), size)
         pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        pick = np.repeat(begin, size) + pos
         own = np.repeat(np.arange(len(n)), size)
-        where = at[begin][own] + l0
-        out.append((of[where], number[where], y[pick].astype(np.uint32).view(np.int32), sig[own], *[x[own] for x in parts_], n[own], pos))
-    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else None
+        key = y[np.repeat(begin, size) + pos].astype(np.uint32).view(np.int32)
+        where = at[begin] + l0
+        late = np.zeros(len(n), np.uint64)
+        if wanted is not None:
+            keep = _in(wanted[0], key.astype(np.int64))
+            key, pos, own = key[keep], pos[keep], own[keep]
+            late = _in(wanted[1], _line_ids(doc[of[where]], number[where])).astype(np.uint64)
+        w = width[own]
+        begins = np.cumsum(w + _HEAD) - w - _HEAD
+        out = np.empty(int((w + _HEAD).sum()), np.uint64)
+        out[begins], out[begins + 1] = sig[own], doc[of[where]].view(np.uint64)[own]
+        out[begins + 2] = ((number[where].astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64))[own]
+        out[begins + 3] = (late[own] << np.uint64(32)) | pos.astype(np.uint64)
+        step = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        out[np.repeat(begins + _HEAD, w) + step] = sketch[np.repeat(sketch_at[own], w) + step]
+        yield key, out, np.append(begins, len(out))
+
+
+def _in(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = filter_place(ids)
+    return ((bits[at >> 3] >> (7 - (at & 7))) & 1).astype(bool)
+
+
+def _line_ids(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """What line_id() makes."""
+    return doc % (1 << 40) * 1_000_003 + line
 
 
 def rarity_levels(docs: DataFrame):
@@ -85,141 +128,251 @@ def rarity_levels(docs: DataFrame):
     return docs.sparkSession.sparkContext.broadcast(level)
 
 
-def entries(docs: DataFrame, percent: int, rarity, long: int = LONG) -> DataFrame:
-    """Prefix entries of all lines; lines of `long` words and more have four words of sketch."""
+def entries(docs: DataFrame, percent: int, rarity, wanted=None) -> DataFrame:
+    """(token, data): prefix entries of all lines; wanted as in index_entries, broadcast."""
 
     def made(batches):
         for batch in batches:
             for chunk in in_chunks(batch, "text", 1 << 19):
-                got = index_entries(*text_bytes(chunk.column("text")), rarity.value, percent, long)
-                if got is None:
-                    continue
-                of, number, token, sig, *sketch, n, pos = got
-                for a in range(0, len(of), 50_000):
-                    s = slice(a, a + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(token[s]), pa.array(sig[s].view(np.int64)), chunk.column("doc_id").take(pa.array(of[s])), pa.array(number[s].astype(np.int32)), pa.array(n[s].astype(np.int32)), pa.array(pos[s].astype(np.int32)), *[pa.array(x[s].view(np.int64)) for x in sketch]], ["token", "sig", "doc", "line", "n", "pos", *_SKETCH])
-
-    return with_ids(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(made, "token int, sig long, doc long, line int, n int, pos int, s0 long, s1 long, s2 long, s3 long")
-
-
-def _meets(x, i, j, percent):
-    """Which pairs pass the length, position and sketch filters."""
-    n1, n2, p1, p2 = x["n"][i], x["n"][j], x["pos"][i], x["pos"][j]
-    need = needed(n1, n2, percent)
-    ok = (np.minimum(n1, n2) * 100 >= percent * np.maximum(n1, n2)) & (np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2) >= need)
-    return ok, n1 + n2 - 2 * need
-
-
-def _apart(x, i, j):
-    """Differing bits of two lines' sketches."""
-    far = np.bitwise_count(x["fold"][i] ^ x["fold"][j]).astype(np.int64)
-    both = np.flatnonzero((x["n"][i] >= LONG) & (x["n"][j] >= LONG))
-    if len(both):
-        a, b = i[both], j[both]
-        far[both] = sum(np.bitwise_count(x[c][a] ^ x[c][b]).astype(np.int64) for c in _SKETCH)
+                doc = chunk.column("doc_id").to_numpy()
+                for key, words, at in index_entries(*text_bytes(chunk.column("text")), doc, rarity.value, percent, wanted and wanted.value):
+                    for a in range(0, len(key), 50_000):
+                        b = min(len(key), a + 50_000)
+                        buffers = [None, pa.py_buffer(((at[a : b + 1] - at[a]) * 8).astype(np.int32)), pa.py_buffer(words[at[a] : at[b]])]
+                        yield pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.Array.from_buffers(pa.binary(), b - a, buffers)], ["token", "data"])
+
+    return with_ids(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(made, "token int, data binary")
+
+
+class Lines:
+    """Entries of some runs as arrays; `words` holds their data, `at` where each entry's begins."""
+
+    FIELDS = ("token", "sig", "doc", "line", "n", "pos", "late", "side", "at")
+
+    def __init__(self, words: np.ndarray, **fields: np.ndarray):
+        self.words = words
+        self.__dict__ |= fields
+
+    @classmethod
+    def of(cls, token: np.ndarray, data: pa.Array, side: np.ndarray | None = None) -> Lines:
+        offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+        words = np.frombuffer(bytearray(memoryview(data.buffers()[2])[offsets[0] : offsets[-1]]), np.uint64)
+        at = (offsets[:-1] - offsets[0]) // 8
+        low = np.uint64((1 << 32) - 1)
+        third, fourth = words[at + 2], words[at + 3]
+        split = lambda x: ((x >> np.uint64(32)).astype(np.int64), (x & low).astype(np.int64))
+        (line, n), (late, pos) = split(third), split(fourth)
+        return cls(words, token=token.astype(np.int64), sig=words[at], doc=words[at + 1].view(np.int64), line=line, n=n, pos=pos, late=late, side=np.zeros(len(at), np.int64) if side is None else side, at=at)
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def take(self, pick) -> Lines:
+        return Lines(self.words, **{f: getattr(self, f)[pick] for f in self.FIELDS})
+
+    @classmethod
+    def joined(cls, some: list[Lines]) -> Lines:
+        """Words that no entry uses any more go."""
+        if len(some) == 1:
+            return some[0]
+        words, at, done = [], [], 0
+        for x in some:
+            width = sketch_words(x.n) + _HEAD
+            step = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+            words.append(x.words[np.repeat(x.at, width) + step])
+            at.append(np.cumsum(width) - width + done)
+            done += int(width.sum())
+        fields = {f: np.concatenate([getattr(x, f) for x in some]) for f in cls.FIELDS if f != "at"}
+        return cls(np.concatenate(words), at=np.concatenate(at), **fields)
+
+    def data(self) -> pa.Array:
+        width = (sketch_words(self.n) + _HEAD) if len(self) else np.zeros(0, np.int64)
+        step = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        offsets = np.concatenate([[0], np.cumsum(width) * 8]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(self), [None, pa.py_buffer(offsets), pa.py_buffer(self.words[np.repeat(self.at, width) + step])])
+
+    def folds(self) -> np.ndarray:
+        """All words of a sketch combined: the sketch of 64 bits."""
+        width = sketch_words(self.n)
+        step = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        return np.bitwise_xor.reduceat(self.words[np.repeat(self.at + _HEAD, width) + step], np.cumsum(width) - width) if len(self) else np.zeros(0, np.uint64)
+
+
+def _collapsed(x: Lines) -> tuple[Lines, Lines]:
+    """The first line of each set and token, and the others."""
+    order = np.lexsort((x.line, x.doc, x.sig, x.token))
+    token, sig = x.token[order], x.sig[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
+    return x.take(order[new]), x.take(order[~new])
+
+
+def _apart(x: Lines, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Differing bits of whole sketches, the wider one folded; n[i] <= n[j]."""
+    w1, w2 = sketch_words(x.n[i]), sketch_words(x.n[j])
+    far = np.zeros(len(i), np.int64)
+    for a, b in {(int(a), int(b)) for a, b in zip(w1, w2, strict=True)} if len(i) else ():
+        k = np.flatnonzero((w1 == a) & (w2 == b))
+        one = x.words[(x.at[i[k]] + _HEAD)[:, None] + np.arange(a)]
+        two = x.words[(x.at[j[k]] + _HEAD)[:, None] + np.arange(b)].reshape(len(k), b // a, a)
+        far[k] = np.bitwise_count(one ^ np.bitwise_xor.reduce(two, 1)).sum(1, dtype=np.int64)
     return far
 
 
-def _earlier(x, i, j):
-    """True where line i comes before line j."""
-    return (x["doc"][i] < x["doc"][j]) | ((x["doc"][i] == x["doc"][j]) & (x["line"][i] < x["line"][j]))
-
+def _pairs(x: Lines, percent: int, cross: bool):
+    """(late, early, differing bits) of entries of one token whose lines are candidates, blocks of at most PAIRS; cross: of different sides."""
+    order = np.lexsort((x.n, x.token))
+    x = x.take(order)
+    run = np.cumsum(np.concatenate([[0], x.token[1:] != x.token[:-1]])) if len(x) else x.token
+    fold = x.folds()
+    # partners of a line follow it, up to the largest size allowed
+    key = (run << 32) | x.n
+    stop = np.searchsorted(key, (run << 32) | (x.n * 100 // percent), "right")
+    count = stop - np.arange(len(x)) - 1
+    total = np.concatenate([[0], np.cumsum(count)])
+    for p0 in range(0, int(total[-1]), PAIRS):
+        p = np.arange(p0, min(p0 + PAIRS, int(total[-1])))
+        i = np.searchsorted(total, p, "right") - 1
+        j = i + 1 + p - total[i]
+        both = x.n[i] + x.n[j]
+        need = needed(both, 0, percent)
+        ok = np.bitwise_count(fold[i] ^ fold[j]) <= both - 2 * need
+        if cross:
+            ok &= x.side[i] != x.side[j]
+        i, j, both, need = i[ok], j[ok], both[ok], need[ok]
+        p1, p2 = x.pos[i], x.pos[j]
+        ok = np.minimum(p1, p2) + np.minimum(x.n[i] - p1, x.n[j] - p2) >= need
+        i, j, both, need = i[ok], j[ok], both[ok], need[ok]
+        far = _apart(x, i, j)
+        ok = far <= both - 2 * need
+        i, j, far = i[ok], j[ok], far[ok]
+        same = (x.doc[i] == x.doc[j]) & (x.line[i] == x.line[j])
+        before = (x.doc[i] < x.doc[j]) | ((x.doc[i] == x.doc[j]) & (x.line[i] < x.line[j]))
+        late, early = np.where(before, j, i)[~same], np.where(before, i, j)[~same]
+        if len(late):
+            yield order[late], order[early], far[~same]
+
+
+_FOUND = "kind int, doc long, line int, doc2 long, line2 int, far int, token int, sig long, data binary"
+
+
+def _rows(kind: int, x: Lines, late: np.ndarray, early: np.ndarray | None = None, far: np.ndarray | None = None, data: bool = False):
+    for a in range(0, len(late), 50_000):
+        one = x.take(late[a : a + 50_000])
+        two = one if early is None else x.take(early[a : a + 50_000])
+        z = np.zeros(len(one), np.int32) if far is None else far[a : a + 50_000].astype(np.int32)
+        columns = [np.full(len(one), kind, np.int32), one.doc, one.line.astype(np.int32), two.doc, two.line.astype(np.int32), z, one.token.astype(np.int32), one.sig.view(np.int64)]
+        yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], one.data() if data else pa.nulls(len(one), pa.binary())], [c.split()[0] for c in _FOUND.split(", ")])
+
+
+def _sent(x: Lines, percent: int, best: int, cross: bool = False):
+    """Rows of kind 1 and 2 for whole runs; best 0: all pairs whose later line is marked late."""
+    late, early, far = (np.zeros(0, np.int64) for _ in range(3))
+    more = np.zeros(len(x), bool)
+
+    def nearest():
+        order = np.lexsort((x.line[early], x.doc[early], far, late))
+        at = late[order]
+        nth = np.arange(len(at)) - np.searchsorted(at, at)
+        more[at[nth >= best]] = True
+        return order[nth < best]
+
+    for a, b, d in _pairs(x, percent, cross):
+        if not best:
+            on = x.late[a] == 1
+            yield from _rows(1, x, a[on], b[on], d[on])
+            continue
+        late, early, far = np.concatenate([late, a]), np.concatenate([early, b]), np.concatenate([far, d])
+        if len(late) > PAIRS:
+            k = nearest()
+            late, early, far = late[k], early[k], far[k]
+    if len(late):
+        k = nearest()
+        yield from _rows(1, x, late[k], early[k], far[k])
+        yield from _rows(2, x, np.flatnonzero(more))
 
-def candidates(sorted_entries: DataFrame, percent: int) -> DataFrame:
-    """Entries sorted by token, sig, doc, line -> kind 0: (doc, line) equals an earlier line; 1: compare with (doc2, line2);
-    2: more than BEST candidates under token."""
-    names = ("token", "sig", "doc", "line", "n", "pos", *_SKETCH)
 
-    def batch_of(kind, doc, line, doc2=None, line2=None, token=None):
-        z = np.zeros(len(doc), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), pa.array(doc), pa.array(line.astype(np.int32)), pa.array(z if doc2 is None else doc2), pa.array((z if line2 is None else line2).astype(np.int32)), pa.array((z if token is None else token).astype(np.int32))], ["kind", "doc", "line", "doc2", "line2", "token"])
+def candidates(sorted_entries: DataFrame, percent: int, best: int) -> DataFrame:
+    """Entries sorted by token -> kind 0: (doc, line) equals an earlier line; 1: compare with (doc2, line2), far bits of their sketches
+    differ; 2: more than `best` candidates under token; 3: an entry of a run of over RUN lines, not paired here."""
 
-    def pairs(x, i, j):
-        before = _earlier(x, i, j)
-        early, late = np.where(before, i, j), np.where(before, j, i)
-        return batch_of(1, x["doc"][late], x["line"][late], x["doc"][early], x["line"][early])
+    def made(batches):
+        held, size, over = [], 0, None  # over: the token whose run goes out as kind 3
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = Lines.of(batch.column("token").to_numpy(), batch.column("data"))
+            if over is not None:
+                on = x.token == over
+                first, again = _collapsed(x.take(on))
+                yield from _rows(0, again, np.flatnonzero(again.pos == 0))
+                yield from _rows(3, first, np.arange(len(first)), data=True)
+                if on.all():
+                    continue
+                x, over = x.take(~on), None
+            held.append(x)
+            size += len(x)
+            if size < 50_000:
+                continue
+            x, again = _collapsed(Lines.joined(held))
+            yield from _rows(0, again, np.flatnonzero(again.pos == 0))
+            cut = int(np.searchsorted(x.token, x.token[-1]))
+            if cut:
+                yield from whole(x.take(slice(0, cut)))
+            x = x.take(slice(cut, None))
+            if len(x) > RUN:
+                yield from _rows(3, x, np.arange(len(x)), data=True)
+                over, held, size = int(x.token[0]), [], 0
+            else:
+                held, size = [Lines.joined([x, x.take(slice(0, 0))])], len(x)
+        if held:
+            x, again = _collapsed(Lines.joined(held))
+            yield from _rows(0, again, np.flatnonzero(again.pos == 0))
+            yield from whole(x)
 
-    def whole(x):
+    def whole(x: Lines):
         """All of some runs."""
-        cut = np.concatenate([[0], np.flatnonzero(x["token"][1:] != x["token"][:-1]) + 1, [len(x["token"])]])
-        size = np.diff(cut)
-        run = np.repeat(np.arange(len(size)), size)
-        small = np.repeat((size > 1) & (size <= SMALL), size)
-        at = np.flatnonzero(small)
-        for k in range(1, SMALL):
-            if len(at) <= k:
-                break
-            i, j = at[:-k], at[k:]
-            same = run[i] == run[j]
-            i, j = i[same], j[same]
-            if not len(i):
-                break
-            ok, most = _meets(x, i, j, percent)
-            i, j, most = i[ok], j[ok], most[ok]
-            ok = _apart(x, i, j) <= most
-            if ok.any():
-                yield pairs(x, i[ok], j[ok])
-        for r in np.flatnonzero(size > SMALL):
-            yield from large({c: v[cut[r] : cut[r + 1]] for c, v in x.items()})
-
-    def large(x, block=512):
-        order = np.argsort(x["n"], kind="stable")
-        x = {c: v[order] for c, v in x.items()}
-        n = x["n"]
-        for a in range(0, len(n), block):
-            e = min(len(n), a + block)
-            lo, hi = np.searchsorted(n, -(-int(n[a]) * percent // 100)), np.searchsorted(n, int(n[e - 1]) * 100 // percent, "right")
-            best: list = []
-            for b in range(int(lo), int(hi), 8192):
-                f = min(int(hi), b + 8192)
-                far = np.bitwise_count(x["fold"][a:e, None] ^ x["fold"][None, b:f])
-                i, j = np.nonzero(far <= (n[e - 1] + n[f - 1]) * (100 - percent) // (100 + percent))
-                i, j = i + a, j + b
-                ok, most = _meets(x, i, j, percent)
-                ok &= _earlier(x, j, i)
-                i, j, most = i[ok], j[ok], most[ok]
-                d = _apart(x, i, j)
-                if (ok := d <= most).any():
-                    best.append((i[ok], j[ok], d[ok]))
-            if not best:
-                continue
-            i, j, d = (np.concatenate(c) for c in zip(*best, strict=True))
-            order = np.lexsort((d, i))
-            i, j = i[order], j[order]
-            nth = np.arange(len(i)) - np.searchsorted(i, i)
-            yield pairs(x, j[nth < BEST], i[nth < BEST])
-            if len(more := np.unique(i[nth == BEST])):
-                yield batch_of(2, x["doc"][more], x["line"][more], token=x["token"][more])
+        cut = np.concatenate([[0], np.flatnonzero(x.token[1:] != x.token[:-1]) + 1, [len(x)]])
+        long = np.repeat(np.diff(cut) > RUN, np.diff(cut))
+        if long.any():
+            yield from _rows(3, x, np.flatnonzero(long), data=True)
+            x = x.take(~long)
+        yield from _sent(x, percent, best)
+
+    return sorted_entries.mapInArrow(made, _FOUND)
+
+
+def squares(long: DataFrame, percent: int, best: int) -> DataFrame:
+    """Rows of kind 3 -> what candidates() finds, from squares of two blocks of each run, dealt to all tasks."""
+    first = F.min(F.struct("doc", "line", "data")).alias("first")
+    lines = long.groupBy("token", "sig").agg(first).select("token", "sig", "first.doc", "first.line", "first.data")
+    # blocks grow with the root of the run, so that what is sent grows less than its square
+    blocks = F.ceil(F.count("*") / F.greatest(F.lit(RUN / 2), SPREAD * F.sqrt(F.count("*")))).cast("int").alias("blocks")
+    lines = lines.join(lines.groupBy(F.col("token").alias("token_")).agg(blocks), F.col("token") == F.col("token_"))
+    lines = lines.withColumn("own", F.expr("cast(pmod(xxhash64(sig), blocks) as int)"))
+    lines = lines.select("token", "data", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    lines = lines.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "data")
 
     def made(batches):
-        held, size, last = [], 0, (None, None)
+        held, last = [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = {c: batch.column(c).to_numpy() for c in names}
-            x |= {c: x[c].view(np.uint64) for c in _SKETCH}
-            x["fold"] = x["s0"] ^ x["s1"] ^ x["s2"] ^ x["s3"]
-            again = np.zeros(batch.num_rows, bool)
-            again[1:] = (x["token"][1:] == x["token"][:-1]) & (x["sig"][1:] == x["sig"][:-1])
-            again[0] = (x["token"][0], x["sig"][0]) == last
-            last = (x["token"][-1], x["sig"][-1])
-            if (gone := again & (x["pos"] == 0)).any():
-                yield batch_of(0, x["doc"][gone], x["line"][gone])
-            held.append({c: v[~again] for c, v in x.items()})
-            size += int((~again).sum())
-            if size < 100_000:
-                continue
-            x = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
-            cut = int(np.searchsorted(x["token"], x["token"][-1]))
-            if cut:
-                yield from whole({c: v[:cut] for c, v in x.items()})
-            held, size = [{c: v[cut:] for c, v in x.items()}], len(x["token"]) - cut
-            if not cut:
-                size = 0  # a long run: look again when as much has come on top
+            token, x, y, side = (batch.column(c).to_numpy() for c in ("token", "x", "y", "side"))
+            new = np.flatnonzero((token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            edges = [0, *new.tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                key = (token[a], x[a], y[a])
+                if key != last and held:
+                    yield from _sent(Lines.joined(held), percent, best, last[1] != last[2])
+                    held = []
+                last = key
+                held.append(Lines.of(token[a:b], batch.column("data").slice(a, b - a), side[a:b].astype(np.int64)))
         if held:
-            yield from whole({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+            yield from _sent(Lines.joined(held), percent, best, last[1] != last[2])
 
-    return sorted_entries.mapInArrow(made, "kind int, doc long, line int, doc2 long, line2 int, token int")
+    keys = ("token", "x", "y")
+    return lines.repartition(parts(long.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(made, _FOUND)
 
 
 def line_id(doc: str, line: str):
@@ -227,9 +380,8 @@ def line_id(doc: str, line: str):
     return F.expr(f"pmod({doc}, {1 << 40}L) * 1000003L + {line}").alias("id")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (doc, line, doc2, line2) the (doc, line) whose whole sets are similar enough."""
-    lines = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("line2").alias("line"))).distinct()
+def line_sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(d, l, set) of the named (doc, line); lines are made into sets where documents are read, those a bitmap rules out aren't."""
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(lines.select(line_id("doc", "line"))))
 
     def sets(batches):
@@ -238,16 +390,35 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 data, bounds = text_bytes(chunk.column("text"))
                 start, of, number = line_bounds(data, bounds)
                 ids = chunk.column("doc_id").take(pa.array(of))
-                keep = np.flatnonzero(passes_filter(bits.value, pa.array(ids.to_numpy() % (1 << 40) * 1_000_003 + number)))
+                keep = np.flatnonzero(_in(bits.value, _line_ids(ids.to_numpy(), number)))
                 if not len(keep):
                     continue
-                edges = np.append(start, len(data))
-                h, _, line = word_hashes(data, edges)
-                a, b = np.searchsorted(line, keep), np.searchsorted(line, keep, "right")
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)), pa.array(number[keep].astype(np.int32)), pa.array([np.unique(h[x:y]).tobytes() for x, y in zip(a, b, strict=True)], pa.binary())], ["doc", "line", "set"])
+                # only the lines that are wanted are hashed
+                stop = np.append(start[1:], len(data))[keep]
+                size = stop - start[keep]
+                edges = np.concatenate([[0], np.cumsum(size)])
+                own = data[np.repeat(start[keep] - edges[:-1], size) + np.arange(edges[-1])]
+                h, _, line = word_hashes(own, edges)
+                x = _sorted_sets(line, h)
+                cut = np.searchsorted(x[0], np.arange(len(keep) + 1).astype(np.uint64))
+                buffers = [None, pa.py_buffer((cut * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x[1]))]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)), pa.array(number[keep].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(keep), buffers)], ["doc", "line", "set"])
 
     made = with_ids(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(sets, "doc long, line int, set binary")
-    found = stored(made.join(lines, ["doc", "line"], "left_semi").select(F.col("doc").alias("d"), F.col("line").alias("l"), "set"))
+    return made.join(lines, ["doc", "line"], "left_semi").select(F.col("doc").alias("d"), F.col("line").alias("l"), "set")
+
+
+def _sorted_sets(line: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Lines and their distinct hashes, in order."""
+    order = np.lexsort((h, line))
+    line, h = line[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
+    return np.stack([line[new].astype(np.uint64), h[new]])
+
+
+def similar_lines(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (doc, line, doc2, line2) the (doc, line) whose whole sets are similar enough."""
 
     def similar(batches):
         for batch in batches:
@@ -260,35 +431,59 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * i >= percent * (len(x) + len(y) - i))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("line")], ["doc", "line"]).filter(pa.array(keep, pa.bool_()))
 
-    one = found.select(F.col("d").alias("doc"), F.col("l").alias("line"), F.col("set").alias("s1"))
-    two = found.select(F.col("d").alias("doc2"), F.col("l").alias("line2"), F.col("set").alias("s2"))
+    one = sets.select(F.col("d").alias("doc"), F.col("l").alias("line"), F.col("set").alias("s1"))
+    two = sets.select(F.col("d").alias("doc2"), F.col("l").alias("line2"), F.col("set").alias("s2"))
     return pairs.join(one, ["doc", "line"]).join(two, ["doc2", "line2"]).select("doc", "line", "s1", "s2").mapInArrow(similar, "doc long, line int").distinct()
 
 
+def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of stored pairs (doc, line, doc2, line2, far) the (doc, line) whose whole sets are similar enough. Each line's nearest pair is
+    tried first, the others only where that one fails."""
+    if pairs.isEmpty():
+        return pairs.select("doc", "line")
+    lines = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("line2").alias("line"))).distinct()
+    sets = stored(line_sets(docs, stored(lines)))
+    best = pairs.groupBy("doc", "line").agg(F.min(F.struct("far", "doc2", "line2")).alias("b")).select("doc", "line", "b.doc2", "b.line2")
+    gone = stored(similar_lines(best, sets, percent))
+    rest = stored(pairs.join(gone, ["doc", "line"], "left_anti").select("doc", "line", "doc2", "line2").join(best, ["doc", "line", "doc2", "line2"], "left_anti"))
+    return gone if rest.isEmpty() else gone.unionByName(similar_lines(rest, sets, percent))
+
+
+def _found(docs: DataFrame, percent: int, best: int, rarity, wanted=None) -> DataFrame:
+    spark = docs.sparkSession
+    dealt = entries(docs, percent, rarity, wanted).repartition(parts(spark), "token").sortWithinPartitions("token")
+    with batches_of(spark, 20_000):
+        found = stored(candidates(dealt, percent, best))
+        long = found.where("kind = 3")
+        if long.isEmpty():
+            return found
+        met = stored(squares(long.select("token", "sig", "doc", "line", "data"), percent, best))
+    # of equal sets in a long run all but the first go
+    firsts = long.groupBy(F.col("token").alias("t"), F.col("sig").alias("s")).agg(F.min(F.struct("doc", "line")).alias("first"))
+    same = long.join(firsts, (F.col("token") == F.col("t")) & (F.col("sig") == F.col("s"))).where(F.struct("doc", "line") != F.col("first"))
+    same = same.select(F.lit(0).alias("kind"), *[c for c in found.columns if c != "kind"])
+    return found.where("kind < 3").unionByName(met).unionByName(same)
+
+
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, lines): numbers of the lines to remove, from 0, per document that loses any."""
     spark = docs.sparkSession
     small_batches(spark)
     rarity = rarity_levels(docs)
-    all_entries = entries(docs, percent, rarity)
-    dealt = all_entries.repartition(parts(spark), "token").sortWithinPartitions("token", "sig", "doc", "line")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    found = stored(candidates(dealt, percent))
-    small_batches(spark)
-    equal = found.where("kind = 0").select("doc", "line")
-    pairs = found.where("kind = 1").select("doc", "line", "doc2", "line2").distinct()
-    gone = equal.unionByName(verified(docs, pairs, percent)).distinct()
-    if not found.where("kind = 2").isEmpty():
+    found = _found(docs, percent, BEST, rarity)
+
+    def pairs(found: DataFrame) -> DataFrame:
+        return stored(found.where("kind = 1").groupBy("doc", "line", "doc2", "line2").agg(F.min("far").alias("far")))
+
+    gone = found.where("kind = 0").select("doc", "line").unionByName(verified(docs, pairs(found), percent)).distinct()
+    over = found.where("kind = 2").select("doc", "line", "token")
+    if not over.isEmpty():
         gone = stored(gone)
-        over = found.where("kind = 2").select("doc", "line", "token").distinct().join(gone, ["doc", "line"], "left_anti")
-        wide = entries(docs, percent, rarity, 0)  # few lines come here: full sketches for all
-        late = stored(over.join(wide.select("doc", "line", "token", "n", "pos", *_SKETCH), ["doc", "line", "token"]))
-        if not late.isEmpty():
-            firsts = wide.join(late.select("token").distinct(), "token", "left_semi").join(equal, ["doc", "line"], "left_anti").select("token", F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), *[F.col(c).alias(f"{c}b") for c in _SKETCH])
-            apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}b"))) for c in _SKETCH[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col("s0b"))))
-            need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / (100 + percent) - 1e-9)
-            near = late.join(firsts, "token").where("doc2 < doc or (doc2 = doc and line2 < line)").where(f"least(n, n2) * 100 >= {percent} * greatest(n, n2)").where(apart <= F.col("n") + F.col("n2") - 2 * need).where(F.least("pos", "pos2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
-            gone = gone.unionByName(verified(docs, stored(near.select("doc", "line", "doc2", "line2").distinct()), percent)).distinct()
+        over = stored(over.join(gone, ["doc", "line"], "left_anti"))
+        if not over.isEmpty():
+            wanted = id_filter(over.select(F.col("token").cast("long").alias("id"))), id_filter(over.select(line_id("doc", "line")))
+            wide = _found(docs, percent, 0, rarity, spark.sparkContext.broadcast(wanted))
+            gone = gone.unionByName(verified(docs, pairs(wide), percent)).distinct()
     return gone.groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
