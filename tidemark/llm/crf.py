@@ -1,4 +1,4 @@
-"""Linear-chain conditional random field over sparse binary features: training by full-batch Adam, Viterbi over padded batches."""
+"""Linear-chain conditional random field over sparse binary features: training by full-batch Adam, Viterbi over blocks side by side."""
 
 from __future__ import annotations
 
@@ -13,7 +13,10 @@ class Crf:
         self.t = np.zeros((labels, labels))
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
-        return self.w[features].sum(1)
+        out = self.w[features[:, 0]]
+        for k in range(1, features.shape[1]):
+            out += self.w[features[:, k]]
+        return out
 
     @staticmethod
     def padded(lengths: np.ndarray) -> np.ndarray:
@@ -65,33 +68,60 @@ class Crf:
         return self
 
     def decode(self, features: np.ndarray, lengths: np.ndarray, cells: int = 1 << 18) -> np.ndarray:
-        """Best labels of all sequences, in batches of like lengths with about `cells` tokens each."""
-        out = np.zeros(len(features), np.int8)
-        e = self.emissions(features)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-        order = np.argsort(lengths, kind="stable")
-        order = order[lengths[order] > 0]
-        at = 0
-        while at < len(order):
-            end = at + 1
-            # sequences of up to a quarter more steps share a batch
-            longest = int(lengths[order[at]] * 1.25) + 1
-            end = max(end, min(int(np.searchsorted(lengths[order], longest, "right")), at + max(1, cells // longest)))
-            pick = order[at:end]
-            at = end
-            n = lengths[pick]
-            steps = int(n.max())
-            score = e[starts[pick]]
-            back = np.zeros((steps, len(pick), self.t.shape[0]), np.int8)
-            for s in range(1, steps):
-                x = score[:, :, None] + self.t[None]
-                back[s] = x.argmax(1)
-                new = x.max(1) + e[np.minimum(starts[pick] + s, len(e) - 1)]
-                score = np.where((n > s)[:, None], new, score)
-            label = score.argmax(1)
-            for s in range(steps - 1, -1, -1):
-                on = n > s
-                out[starts[pick][on] + s] = label[on]
-                if s:
-                    label = np.where(on, back[s][np.arange(len(pick)), label], label)
-        return out
+        """Best labels of all sequences.
+
+        The sequences are laid end to end, with no transition scores between them, and the chain is cut into blocks of about the root
+        of its length. All blocks advance together: first each one's best scores from any label before it to any at its end, which
+        give the scores before every block; then the usual Viterbi step in all blocks, and back.
+        """
+        n, labels = len(features), self.t.shape[0]
+        if not n:
+            return np.zeros(0, np.int8)
+        size = max(1, int(np.sqrt(n)))
+        blocks = -(-n // size)
+        e = np.zeros((blocks * size, labels))
+        for a in range(0, n, cells):
+            e[a : min(a + cells, n)] = self.emissions(features[a : a + cells])
+        first = np.ones(blocks * size, bool)
+        first[:n] = False
+        first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+        # step by step, all blocks at a time; blocks lie along the last axis
+        e = np.ascontiguousarray(e.reshape(blocks, size, labels).transpose(1, 2, 0))
+        inside = ~first.reshape(blocks, size).T
+
+        def moves(k: int) -> np.ndarray:
+            return self.t[:, :, None] * inside[k]
+
+        across = moves(0) + e[0]
+        for k in range(1, size):
+            t = moves(k)
+            best = across[:, :1] + t[:1]
+            for via in range(1, labels):
+                np.maximum(best, across[:, via : via + 1] + t[via : via + 1], out=best)
+            across = best + e[k]
+        score = np.zeros((labels, blocks))
+        for b in range(1, blocks):
+            x = (score[:, b - 1, None] + across[:, :, b - 1]).max(0)
+            score[:, b] = x - x.max()
+        back = np.zeros((size, labels, blocks), np.int8)
+        for k in range(size):
+            x = score[:, None] + moves(k)
+            best = x[0]
+            for via in range(1, labels):
+                better = x[via] > best
+                back[k][better] = via
+                best = np.maximum(best, x[via])
+            score = best + e[k]
+        # each label at a block's end leads back to one before the block
+        origin = np.repeat(np.arange(labels)[:, None], blocks, 1)
+        for k in range(size - 1, -1, -1):
+            origin = np.take_along_axis(back[k], origin, 0).astype(np.int64)
+        label = np.zeros(blocks, np.int64)
+        label[-1] = score[:, -1].argmax()
+        for b in range(blocks - 1, 0, -1):
+            label[b - 1] = origin[label[b], b]
+        out = np.zeros((size, blocks), np.int8)
+        for k in range(size - 1, -1, -1):
+            out[k] = label
+            label = back[k][label, np.arange(blocks)]
+        return out.T.reshape(-1)[:n]

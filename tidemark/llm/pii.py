@@ -2,8 +2,7 @@
 
 The CRF is trained on labelled_table(), a small table of token and label rows made from a fixed seed. A token's features are its
 shape (classes of characters, runs collapsed), counts of digits, its word if it is a context word of the table, and the shape and
-word of its neighbours. Every token of every text is looked at; tokens further than REACH from any token that has a digit or `@`
-or is a context word carry no evidence and are outside by definition, the others are decoded by Viterbi in numpy batches.
+word of its neighbours. Lines are sequences; every token of every line is decoded by Viterbi in numpy batches.
 Spans the CRF adds never touch a span of the patterns.
 
 Edge cases: null and empty texts have no spans; repeated rows are scanned each; null ids stay; empty tables give empty results;
@@ -22,13 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import in_chunks, small_batches, table, text_bytes, with_ids
 from .crf import Crf
-from .words import _BYTE_LOWER, prefix_sums, span_hashes, word_spans
+from .words import _BYTE_LOWER, mixed, powers, prefix_sums, span_hashes, word_spans
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds the CRF adds beyond the fixed ones come last in spans.
 ADDED = ("id",)
 LABELS = ("O", *KINDS, *ADDED)
-REACH = 3
 SHAPES = 2048
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -119,15 +117,20 @@ class Features:
         shape = np.zeros(len(starts), np.int64)
         plain = (runs[ends] - runs[starts] <= 2) & (digits == 0)
         shape[plain] = 1 + np.minimum(cls[starts[plain]], 13) * 16 + np.minimum(cls[ends[plain] - 1], 13)
-        for k in np.flatnonzero(~plain):
-            run = cls[starts[k] : ends[k]][:64]
-            keep = np.concatenate([[True], run[1:] != run[:-1]])
-            at = np.flatnonzero(keep)
-            size = np.minimum(np.diff(np.append(at, len(run))), 5)
-            x = 17
-            for c, n in zip(run[at], size, strict=True):
-                x = (x * 131 + int(c) * 7 + int(n if c == 3 else 0)) % 1000003
-            shape[k] = 256 + x % (SHAPES - 256)
+        odd = np.flatnonzero(~plain)
+        if len(odd):
+            at = np.flatnonzero(change)
+            a, b = runs[starts[odd]], runs[ends[odd]]
+            # a run's code is its class, and for digits its length up to 5; what was trimmed off a token's end doesn't count
+            size = np.diff(np.append(at, len(data)))
+            code = cls[at] * 8 + np.where(cls[at] == 3, np.minimum(size, 5), 0)
+            cut = ends[odd] - at[b - 1]
+            last = cls[at[b - 1]] * 8 + np.where(cls[at[b - 1]] == 3, np.minimum(cut, 5), 0)
+            base = np.uint64(0x9E3779B97F4A7C15)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code.astype(np.uint64) * powers(base, len(code)))])
+            inverse = powers(np.uint64(pow(int(base), -1, 1 << 64)), len(code) + 1)
+            key = mixed(mixed((sums[b - 1] - sums[a]) * inverse[a]) + (last + 256 * np.minimum(b - a, 1 << 40)).astype(np.uint64))
+            shape[odd] = 256 + (key % np.uint64(SHAPES - 256)).astype(np.int64)
         h = span_hashes(prefix_sums(data, _BYTE_LOWER), starts, ends)
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return starts, ends, of, shape, np.where(self.words[at] == h, at + 1, 0), digits
@@ -223,27 +226,16 @@ def added_spans(f: Features, crf: Crf, data: np.ndarray, bounds: np.ndarray):
     starts, ends, of, shape, word, digits = f.tokens(data, bounds)
     if not len(starts):
         return []
-    at_sign = np.flatnonzero(data == 64)
-    has_at = np.zeros(len(starts), bool)
-    has_at[np.maximum(np.searchsorted(starts, at_sign, "right") - 1, 0)] = True
-    near = np.zeros(len(starts) + 1, np.int64)
-    seed = np.flatnonzero((digits > 0) | has_at | (word > 0))
-    np.add.at(near, np.maximum(seed - REACH, 0), 1)
-    np.add.at(near, np.minimum(seed + REACH + 1, len(starts)), -1)
-    pick = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-    if not len(pick):
-        return []
-    # sequences: neighbouring picked tokens of one line
+    # sequences: the tokens of a line
     line = np.searchsorted(np.flatnonzero(data == 10), starts)
-    new = np.ones(len(pick), bool)
-    new[1:] = (pick[1:] != pick[:-1] + 1) | (line[pick[1:]] != line[pick[:-1]]) | (of[pick[1:]] != of[pick[:-1]])
-    begin = np.flatnonzero(new)
-    lengths = np.diff(np.append(begin, len(pick)))
-    label = crf.decode(f.rows(shape[pick], word[pick], digits[pick], lengths), lengths)
+    new = np.ones(len(starts), bool)
+    new[1:] = (line[1:] != line[:-1]) | (of[1:] != of[:-1])
+    lengths = np.diff(np.append(np.flatnonzero(new), len(starts)))
+    label = crf.decode(f.rows(shape, word, digits, lengths), lengths)
     cut = np.flatnonzero(new | np.concatenate([[True], label[1:] != label[:-1]]))
-    stop = np.append(cut[1:], len(pick)) - 1
+    stop = np.append(cut[1:], len(starts)) - 1
     keep = label[cut] > 0
-    return [(int(of[pick[a]]), int(label[a]) - 1, int(starts[pick[a]]), int(ends[pick[b]])) for a, b in zip(cut[keep], stop[keep], strict=True)]
+    return [(int(of[a]), int(label[a]) - 1, int(starts[a]), int(ends[b])) for a, b in zip(cut[keep], stop[keep], strict=True)]
 
 
 def scanned(docs: DataFrame) -> DataFrame:
