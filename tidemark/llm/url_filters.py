@@ -1,7 +1,8 @@
 """URL filters: host and path rules, and for hosts no rule fits link-graph propagation. DataFrame functions only.
 
 Edges join a page's host with the hosts its absolute links name, and every host with its parent domain in either direction
-(a site's own hosts vouch for each other). Personalised PageRank runs from trusted seeds along the edges; distrust runs from
+(a site's own hosts vouch for each other) up to the domain that was registered: no edge leads to a suffix such as com or co.uk, under
+which unrelated sites lie. Personalised PageRank runs from trusted seeds along the edges; distrust runs from
 blocked seeds along reversed edges. Both go on until no host's rank changes by more than TOLERANCE of itself within ROUNDS rounds, and
 so reach every host that links reach. Seeds are hosts, weighed by their pages that rules allow or block. A host whose distrust
 exceeds THRESHOLD times its trust is blocked; a host that neither reaches is allowed.
@@ -24,6 +25,8 @@ DAMPING = 0.85
 ROUNDS = 4
 TOLERANCE = 1e-3
 THRESHOLD = 1.0
+#: Suffixes of two labels under which domains are registered: a generic label before a country's.
+SUFFIX = r"^(?:ac|co|com|edu|go|gob|gov|gouv|mil|ne|net|nom|or|org|sch)\.[a-z]{2}$"
 LINK = r"""(?i)href\s*=\s*["']?https?://([^/"'?#\s>:]+)"""
 
 
@@ -75,7 +78,7 @@ def judged(pages: DataFrame) -> DataFrame:
     links = pages.select(host.alias("a"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(LINK), F.lit(1)))).alias("b")).select("a", lower_ascii(F.col("b")).alias("b"))
     links = links.where("a <> '' and b <> '' and a <> b").groupBy("a", "b").agg(F.count("*").cast("double").alias("n"))
     hosts = stored(based.where("host <> ''").groupBy("host").agg(F.sum(F.when(F.col("found.verdict") == "allow", 1.0).otherwise(0.0)).alias("trusted"), F.sum(F.when(F.col("found.verdict") == "block", 1.0).otherwise(0.0)).alias("blocked")))
-    parent = hosts.select(F.col("host").alias("a"), F.expr("substring(host, instr(host, '.') + 1)").alias("b")).where("instr(a, '.') > 0 and instr(b, '.') > 0")
+    parent = hosts.select(F.col("host").alias("a"), F.expr("substring(host, instr(host, '.') + 1)").alias("b")).where("instr(a, '.') > 0 and instr(b, '.') > 0").where(~F.rlike(F.col("b"), F.lit(SUFFIX)))
     near = parent.unionByName(parent.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a", "b", F.lit(1.0).alias("n"))
     edges = stored(links.unionByName(near).groupBy("a", "b").agg(F.sum("n").alias("n")))
 
