@@ -6,8 +6,9 @@ three states: kept, open (not kept itself, something below is) or closed (nothin
 closed ones, below a closed node only closed ones; opening costs OPEN. The best whole assignment is found bottom-up.
 
 Edge cases: null or empty html, or none with text, gives an empty string; markup cut off at the end is dropped, unknown character
-references stay as they are; nesting deeper than DEPTH goes on at that depth; repeated rows are extracted each; empty tables give
-empty results; other columns are not read.
+references stay as they are; nesting may be of any depth; a script, style, title or textarea without end tag takes the rest of the page,
+of other dropped elements (button, video, ...) a start tag without end tag is no element; repeated rows are extracted each; empty tables give empty
+results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from .boosting import Boosted
 from .common import in_chunks, small_batches, table, with_ids
 
 OPEN = 1.5
-DEPTH = 200
 #: Fixed tag sets.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img label picture source".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select button object canvas audio video".split())
+RAW = frozenset("script style textarea title".split())
+DROPPED = frozenset("noscript template iframe svg math select button object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 td th dt dd pre figcaption".split())
@@ -36,7 +37,8 @@ BAD = "ad ads advert advertisement banner sponsor promo nav navbar menu breadcru
 GOOD = "article content post entry story main body text page blog paragraph".split()
 _BAD, _GOOD = frozenset(BAD), frozenset(GOOD)
 _TOKEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|\Z))", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_TELLING = frozenset("class id role aria-label hidden style".split())
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -56,6 +58,16 @@ def parsed(html: str) -> list[Node]:
     nodes, here, linked = [root], root, 0
     pieces: list[str] = []
     in_link = 0
+    opened: dict[str, int] = {}  # elements open now, by tag
+
+    def leave(up: Node):
+        """Closes elements up to and with this one."""
+        nonlocal here
+        while True:
+            opened[here.tag] -= 1
+            last, here = here, here.parent
+            if last is up:
+                return
 
     def flush():
         nonlocal pieces, in_link
@@ -100,18 +112,19 @@ def parsed(html: str) -> list[Node]:
                 continue
             if tag in ("html", "body"):
                 continue
-            up = here
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up is not root:
+            if opened.get(tag):
                 flush()
-                here, linked = up.parent, 0
+                up = here
+                while up.tag != tag:
+                    up = up.parent
+                leave(up)
+                linked = 0
             elif tag == "p":
                 flush()
             continue
-        if tag in RAW and not m[3].endswith("/"):
+        if (tag in RAW or tag in DROPPED) and not m[3].endswith("/"):
             end = re.compile(f"</{tag}\\s*>", re.IGNORECASE).search(html, at)
-            at = end.end() if end else size
+            at = end.end() if end else size if tag in RAW else at
             continue
         if tag == "br":
             pieces.append(" ")
@@ -124,21 +137,21 @@ def parsed(html: str) -> list[Node]:
         flush()
         if tag in VOID:
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened.get("p"):
             up = here
             while up is not root and up.tag not in ("p", "td", "th", "li", "div", "section", "article", "body"):
                 up = up.parent
             if up.tag == "p":
-                here, linked = up.parent, 0
+                leave(up)
+                linked = 0
         close = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}.get(tag)
         if close:
             while here.tag in close or here.tag == "p":
-                here = here.parent
-        if here.depth >= DEPTH:
-            continue
+                leave(here)
         n = Node(tag, here, m[3])
         here.children.append(n)
         nodes.append(n)
+        opened[tag] = opened.get(tag, 0) + 1
         here = n
     flush()
     return nodes
@@ -150,10 +163,12 @@ def attribute_tokens(attrs: str) -> tuple[int, int, int]:
         return 0, 0, 0
     bad = good = hidden = 0
     for name, value in _ATTRIBUTE.findall(attrs):
-        value = value.strip("\"'")
-        if name.lower() == "hidden" or name.lower() == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        value, name = value.strip("\"'"), name.lower()
+        if name not in _TELLING:
+            continue
+        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = 1
-        elif name.lower() != "style":
+        elif name != "style":
             for part in _PART.findall(value):
                 bad += part.lower() in _BAD
                 good += part.lower() in _GOOD
