@@ -4,8 +4,10 @@ Only suffixes' first `window` bytes are ordered, most significant digit first, a
 what is left together after the last digit starts a repeated window. The first digit is content-defined: a window is filed
 under its least GRAM-byte gram (leftmost of equals), so one record stands for all neighbouring windows with that gram, and
 equal windows always meet. Records whose gram occurs once in the corpus drop out; the others bring the bytes their windows
-span, and further digits - hashes of the window's thirds - refine the groups within tasks of bounded size. A gram of more
-than HOT records is dealt by whole-window digest into several tasks, so no gram's records are gathered in one.
+span, and further digits - hashes of the window's thirds - refine the groups within tasks of bounded size; windows that are left
+together are compared byte by byte. A gram of more than HOT records is dealt by whole-window digest into several tasks, and each of
+these by document into as many again: a window found twice there is decided, the others meet once more, with one of each that was.
+So no gram's records, and no window's, are gathered in one task. These windows are told apart by 64-bit digests of digest and place.
 
 Texts that occur more than once are one class, ordered once. Windows that a document itself repeats leave at the first digit,
 but for their first place.
@@ -44,6 +46,17 @@ def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
+def _least_places(h: np.ndarray, w: int, bits: int = _PLACE) -> np.ndarray:
+    """Where the least of each w values in a row is, by their upper bits, the leftmost of equals; stretch by stretch, so that places
+    fit into `bits`."""
+    mask, out = np.uint64((1 << bits) - 1), []
+    for a in range(0, len(h) - w + 1, (1 << bits) - w):
+        part = h[a : a + (1 << bits)]
+        least = _sliding_least((part & ~mask) | np.arange(len(part), dtype=np.uint64), w)
+        out.append((least & mask).astype(np.int64)[: (1 << bits) - w] + a)
+    return np.concatenate(out)
+
+
 def _bounds_of(flag: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of runs of True in which `same` stay equal."""
     new = flag.copy()
@@ -70,9 +83,7 @@ def records(data: np.ndarray, bounds: np.ndarray, window: int, gram: int):
     sums = prefix_sums(data)
     inverse = powers(np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)), n + 1)
     h = mixed((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
-    place = np.arange(len(h), dtype=np.uint64)
-    least = _sliding_least((h & ~np.uint64((1 << _PLACE) - 1)) | place, window - gram + 1)
-    p = (least & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+    p = _least_places(h, window - gram + 1)
     of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(p)]
     valid = np.arange(len(p)) + window <= bounds[1:][of]
     first, last = _bounds_of(valid, p, of)
@@ -133,7 +144,7 @@ def _window_hashes(texts: np.ndarray, bounds: np.ndarray, window: int):
 
 
 def _dealt(found: DataFrame, window: int) -> DataFrame:
-    """Rows (text, key, recs) -> records to sort: h, deal, key, a, rel, size 0 or windows' count, payload."""
+    """Rows (text, key, recs) -> records to sort: h, deal, salt, key, a, rel, payload. deal 0: bytes; else starts and digests."""
 
     def made(batches):
         for batch in batches:
@@ -142,30 +153,112 @@ def _dealt(found: DataFrame, window: int) -> DataFrame:
                 recs = batch.column("recs").slice(row, 1).flatten()
                 h, p, a, b, m = (recs.field(k).to_numpy() for k in ("h", "p", "a", "b", "m"))
                 key = batch.column("key")[row].as_py()
-                out = ([], [], [], [], [])
+                out = ([], [], [], [], [], [])
                 for k in range(len(h)):
                     piece = data[a[k] : b[k] + window]
                     if m[k] <= HOT:
-                        for o, v in zip(out, (h[k], 0, a[k], p[k] - a[k], piece.tobytes()), strict=True):
+                        for o, v in zip(out, (h[k], 0, 0, a[k], p[k] - a[k], piece.tobytes()), strict=True):
                             o.append(v)
                     else:
                         _, start, digits = _window_hashes(piece, np.array([0, len(piece)]), window)
                         whole = mixed(mixed(mixed(digits[0]) + digits[1]) + digits[2])
                         deal = (whole % np.uint64(-(-m[k] // HOT) * 4)).astype(np.int64) + 1
+                        salt = int.from_bytes(key[:8], "little") % int(-(-m[k] // HOT))
                         for d in np.unique(deal):
-                            for o, v in zip(out, (h[k], d, a[k], p[k] - a[k], np.stack([start[deal == d].astype(np.uint64), whole[deal == d]]).tobytes()), strict=True):
+                            for o, v in zip(out, (h[k], d, salt, a[k], p[k] - a[k], np.stack([start[deal == d].astype(np.uint64), whole[deal == d]]).tobytes()), strict=True):
                                 o.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array([key] * len(out[0]), pa.binary()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], ["h", "deal", "key", "a", "rel", "payload"])
+                columns = [pa.array(x, pa.int64()) for x in out[:5]]
+                yield pa.RecordBatch.from_arrays([*columns[:3], pa.array([key] * len(out[0]), pa.binary()), *columns[3:], pa.array(out[5], pa.binary())], ["h", "deal", "salt", "key", "a", "rel", "payload"])
+
+    return found.select("text", "key", "recs").mapInArrow(made, "h long, deal long, salt long, key binary, a long, rel long, payload binary")
+
+
+def _same_bytes(data: np.ndarray, at: np.ndarray, group: np.ndarray, window: int) -> np.ndarray:
+    """Which windows, beginning at `at`, have the same bytes as another of their group."""
+    order = np.lexsort((at, group))
+    at, g = at[order], group[order]
+    pair = np.flatnonzero(g[1:] == g[:-1])
+    words = np.ndarray((len(data) - 7,), np.dtype("<u8"), np.ascontiguousarray(data).data, strides=(1,))
+    equal = np.ones(len(pair), bool)
+    for a in range(0, len(pair), 1 << 18):
+        x, y = at[pair[a : a + (1 << 18)]], at[pair[a : a + (1 << 18)] + 1]
+        same = np.ones(len(x), bool)
+        for w in [*range(0, window - 7, 8), window - 8]:
+            same &= words[x + w] == words[y + w]
+        equal[a : a + (1 << 18)] = same
+    out = np.zeros(len(at), bool)
+    out[pair[equal]] = True
+    out[pair[equal] + 1] = True
+    # a group whose digests agree though bytes differ is sorted by its bytes
+    for bad in np.unique(g[pair[~equal]]):
+        lo, hi = np.searchsorted(g, bad), np.searchsorted(g, bad, "right")
+        texts = [data[x : x + window].tobytes() for x in at[lo:hi]]
+        out[lo:hi] = [texts.count(t) > 1 for t in texts]
+    back = np.zeros(len(at), bool)
+    back[order] = out
+    return back
+
+
+def _runs_of(rows: pa.Table, row: np.ndarray, start: np.ndarray) -> list[pa.Array]:
+    """key, lo, hi of runs of starts, each start of a row of records."""
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(row)]]) - 1
+    a = rows.column("a").to_numpy()[row[first]]
+    return [rows.column("key").combine_chunks().take(pa.array(row[first])), pa.array(a + start[first]), pa.array(a + start[last])]
+
+
+_FOUND = "key binary, lo long, hi long, h long, deal long, a long, payload binary"
+_NAMES = ["key", "lo", "hi", "h", "deal", "a", "payload"]
+
+
+def _by_file(rows: DataFrame, keys: tuple[str, ...], passes) -> DataFrame:
+    """Deals rows by keys and calls passes(table) with whole files, about 1 MB of payload at a time. Streams."""
+
+    def made(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.column("payload").nbytes
+            if size < 1 << 20:
+                continue
+            got = pa.Table.from_batches(held)
+            other = np.zeros(got.num_rows, bool)
+            for k in keys:
+                x = got.column(k).to_numpy()
+                other |= x != x[-1]
+            last = np.flatnonzero(other)
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield from passes(got.slice(0, cut))
+            held = got.slice(cut).to_batches()
+            size = sum(x.column("payload").nbytes for x in held) if cut else size
+        if held:
+            yield from passes(pa.Table.from_batches(held))
+
+    return rows.repartition(parts(rows.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(made, _FOUND)
+
 
-    return found.select("text", "key", "recs").mapInArrow(made, "h long, deal long, key binary, a long, rel long, payload binary")
+def _payloads(payload: pa.Array, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows that hold starts and digests: the row, start and digest of each window."""
+    pieces = [np.frombuffer(payload[int(k)].as_buffer(), np.uint64).reshape(2, -1) for k in rows]
+    of = np.repeat(rows, [x.shape[1] for x in pieces])
+    return of, np.concatenate([x[0] for x in pieces]).astype(np.int64), np.concatenate([x[1] for x in pieces])
 
 
 def _repeated(dealt: DataFrame, window: int) -> DataFrame:
-    """Radix passes over records of one gram -> (key, lo, hi): first and last start of runs of repeated windows."""
+    """Radix passes over records of one gram -> key, lo, hi: first and last start of runs of repeated windows; and, with payload, the
+    windows of hot grams that are still to be decided, under a null key one of each that is."""
 
     def passes(rows: pa.Table):
         deal, rel = rows.column("deal").to_numpy(), rows.column("rel").to_numpy().astype(np.uint64)
-        file_ = mixed(mixed(rows.column("h").to_numpy().view(np.uint64)) + deal.astype(np.uint64))
+        h = rows.column("h").to_numpy()
+        file_ = mixed(mixed(h.view(np.uint64)) + deal.astype(np.uint64))
         payload = rows.column("payload").combine_chunks()
         plain = np.flatnonzero(deal == 0)
         hot = np.flatnonzero(deal != 0)
@@ -174,7 +267,8 @@ def _repeated(dealt: DataFrame, window: int) -> DataFrame:
             raw = payload.take(pa.array(plain)).cast(pa.large_binary())
             bounds = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
             data = np.frombuffer(raw.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
-            of, start, digits = _window_hashes(data, bounds - bounds[0], window)
+            bounds = bounds - bounds[0]
+            of, start, digits = _window_hashes(data, bounds, window)
             # filed by gram and by the gram's place in the window
             group = mixed(file_[plain][of] + mixed(rel[plain][of] - start.astype(np.uint64)))
             alive = np.arange(len(of))
@@ -188,50 +282,50 @@ def _repeated(dealt: DataFrame, window: int) -> DataFrame:
                 same[:-1] |= eq
                 keep = np.sort(order[same])
                 alive, group = alive[keep], group[keep]
+            alive = alive[_same_bytes(data, bounds[of[alive]] + start[alive], group, window)] if len(alive) else alive
             got_row.append(plain[of[alive]])
             got_start.append(start[alive])
+        open_ = []
         if len(hot):
-            pieces = [np.frombuffer(payload[int(k)].as_buffer(), np.uint64).reshape(2, -1) for k in hot]
-            of = np.repeat(np.arange(len(hot)), [x.shape[1] for x in pieces])
-            start, whole = np.concatenate([x[0] for x in pieces]), np.concatenate([x[1] for x in pieces])
-            group = mixed(mixed(file_[hot][of] + mixed(rel[hot][of] - start)) + whole)
-            _, back, count = np.unique(group, return_inverse=True, return_counts=True)
+            of, start, whole = _payloads(payload, hot)
+            group = mixed(mixed(file_[of] + mixed(rel[of] - start.astype(np.uint64))) + whole)
+            _, at, back, count = np.unique(group, return_index=True, return_inverse=True, return_counts=True)
             again = count[back] > 1
-            got_row.append(hot[of[again]])
-            got_start.append(start[again].astype(np.int64))
+            got_row.append(of[again])
+            got_start.append(start[again])
+            cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            for a, b in zip(cut, [*cut[1:], len(of)], strict=True):
+                one = ~again[a:b]
+                if one.any():
+                    open_.append((int(of[a]), False, np.stack([start[a:b][one].astype(np.uint64), group[a:b][one]]).tobytes()))
+            for k in np.unique(of[at[count > 1]]):
+                own = group[at[count > 1]][of[at[count > 1]] == k]
+                open_.append((int(k), True, np.stack([np.zeros(len(own), np.uint64), own]).tobytes()))
         row, start = np.concatenate(got_row), np.concatenate(got_start)
-        if not len(row):
-            return None
-        order = np.lexsort((start, row))
-        row, start = row[order], start[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(row)]]) - 1
-        a = rows.column("a").to_numpy()[row[first]]
-        return pa.RecordBatch.from_arrays([rows.column("key").combine_chunks().take(pa.array(row[first])), pa.array(a + start[first]), pa.array(a + start[last])], ["key", "lo", "hi"])
+        if len(row):
+            marks = _runs_of(rows, row, start)
+            yield pa.RecordBatch.from_arrays([*marks, *[pa.nulls(len(marks[0]), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]], _NAMES)
+        if open_:
+            at = np.array([x[0] for x in open_])
+            keys = rows.column("key").combine_chunks().take(pa.array(at, mask=np.array([x[1] for x in open_])))
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([keys, none, none, pa.array(h[at]), pa.array(deal[at]), pa.array(rows.column("a").to_numpy()[at]), pa.array([x[2] for x in open_], pa.binary())], _NAMES)
 
-    def made(batches):
-        held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.column("payload").nbytes
-            if size < 1 << 20:
-                continue
-            rows = pa.Table.from_batches(held)
-            h, deal = rows.column("h").to_numpy(), rows.column("deal").to_numpy()
-            last = np.flatnonzero((h != h[-1]) | (deal != deal[-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut and (out := passes(rows.slice(0, cut))) is not None:
-                yield out
-            held = rows.slice(cut).to_batches()
-            size = sum(x.column("payload").nbytes for x in held) if cut else size
-        if held and (out := passes(pa.Table.from_batches(held))) is not None:
-            yield out
+    return _by_file(dealt, ("h", "deal", "salt"), passes)
+
+
+def _decided(left: DataFrame) -> DataFrame:
+    """What _repeated left open -> key, lo, hi of windows that meet another after all."""
+
+    def passes(rows: pa.Table):
+        of, start, group = _payloads(rows.column("payload").combine_chunks(), np.arange(rows.num_rows))
+        _, back, count = np.unique(group, return_inverse=True, return_counts=True)
+        hit = (count[back] > 1) & rows.column("key").combine_chunks().is_valid().to_numpy(zero_copy_only=False)[of]
+        if hit.any():
+            marks = _runs_of(rows, of[hit], start[hit])
+            yield pa.RecordBatch.from_arrays([*marks, *[pa.nulls(len(marks[0]), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]], _NAMES)
 
-    return dealt.repartition(parts(dealt.sparkSession), "h", "deal").sortWithinPartitions("h", "deal").mapInArrow(made, "key binary, lo long, hi long")
+    return _by_file(left.select("key", "h", "deal", "a", "payload"), ("h", "deal"), passes).select("key", "lo", "hi")
 
 
 def _removed(n: int, lo: np.ndarray, hi: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -258,9 +352,11 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, with_text: bool = False)
     often = recs.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     live = stored(recs.join(often, "h").groupBy("key").agg(F.collect_list(F.struct("h", "p", "a", "b", "m")).alias("recs")))
     live = live.join(classes.select("key", "rep"), "key").select(F.col("key").alias("key_"), "rep", "recs")
-    dealt_text = keyed.repartition(parts(spark), "key")
-    found = dealt_text.join(live, (F.col("key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    runs = _repeated(_dealt(found, window), window)
+    found = keyed.join(live, (F.col("key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    runs = stored(_repeated(_dealt(found, window), window))
+    left = runs.where("payload is not null")
+    runs = runs.where("payload is null").select("key", "lo", "hi")
+    runs = runs if left.isEmpty() else runs.unionByName(_decided(left))
     own = classes.where(F.size("lo") > 0).select("key", F.explode(F.arrays_zip("lo", "hi")).alias("z")).select("key", "z.lo", "z.hi")
     whole = classes.where((F.col("copies") > 1) & (F.col("bytes") >= window)).select("key", F.lit(0).cast("long").alias("lo"), (F.col("bytes") - window).alias("hi"))
     marks = runs.unionByName(own).unionByName(whole).groupBy("key").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")).select(F.col("key").alias("key_"), "lo", "hi")
@@ -278,7 +374,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, with_text: bool = False)
             arrays = [batch.column("doc_id")] + [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays[: 7 if with_text else 6], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"][: 7 if with_text else 6])
 
-    out = dealt_text.join(marks, F.col("key") == F.col("key_"), "left").select("doc_id", "text", "lo", "hi")
+    # copies of one text may be many; a join that Spark can split holds them
+    out = keyed.join(marks, F.col("key") == F.col("key_"), "left").select("doc_id", "text", "lo", "hi")
     return out.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>" + ", kept binary" * with_text)
 
 
