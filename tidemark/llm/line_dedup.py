@@ -2,8 +2,8 @@
 
 A line's set holds its distinct lower-cased words. A line goes if some line before it, in order of (doc_id, line number), has
 Jaccard similarity of `percent` hundredths or more, whether or not that one stays. Tokens are ordered by rarity; a line is
-indexed under its prefix; lines that share a prefix token meet if the length and position filters and a parity sketch of about two
-bits a token (whose differing bits never outnumber the differing tokens) allow it; what remains is verified on whole sets.
+indexed under its prefix; lines that share a prefix token meet if the length and position filters and a parity sketch of a bit
+a token or more (whose differing bits never outnumber the differing tokens) allow it; what remains is verified on whole sets.
 
 Entries come sorted by token. Equal sets collapse while a token's run streams by: their first line alone stays in the run, the
 others are removed at once. The pairs of a run that length allows are looked at in blocks of at most PAIRS. A run of over RUN lines
@@ -57,8 +57,8 @@ def needed(n1, n2, percent):
 
 
 def sketch_words(n: np.ndarray) -> np.ndarray:
-    """A power of two, a word for each 32 tokens or fewer."""
-    return np.minimum(WIDEST, 1 << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64))
+    """A power of two, a word for each 64 tokens or fewer."""
+    return np.minimum(WIDEST, 1 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64))
 
 
 def _sketches(token: np.ndarray, begin: np.ndarray, n: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -451,7 +451,8 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 def _found(docs: DataFrame, percent: int, best: int, rarity, wanted=None) -> DataFrame:
     spark = docs.sparkSession
-    dealt = entries(docs, percent, rarity, wanted).repartition(parts(spark), "token").sortWithinPartitions("token")
+    # a line has many entries: their tasks are half as large as others
+    dealt = entries(docs, percent, rarity, wanted).repartition(2 * parts(spark), "token").sortWithinPartitions("token")
     with batches_of(spark, 20_000):
         found = stored(candidates(dealt, percent, best))
         long = found.where("kind = 3")
