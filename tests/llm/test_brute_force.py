@@ -385,7 +385,10 @@ def test_odd_pages(spark):
 def test_pipeline_stages_on_odd_rows(spark):
     import corpus_pipeline
 
-    good = " ".join(f"Word{k % 90} goes on and the sentence number {k} ends here." for k in range(12))
+    r = random.Random(3)
+    syllables = "the an er on in ti re th en of st nd at es ou le".split()
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    good = " ".join(" ".join([word().capitalize(), *[word() for _ in range(8)]]) + "." for _ in range(14))
     rows = [*ODD_ROWS, (7, good), (8, good), (9, good + " One more sentence is here too."), (None, good)]
     docs = spark.createDataFrame([(i, t, "en", None if i == 7 else "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):

@@ -239,7 +239,7 @@ def added_spans(f: Features, crf: Crf, data: np.ndarray, bounds: np.ndarray):
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added)"""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans): n_added of the CRF, n_spans of both."""
     spark = docs.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(trained())
@@ -265,11 +265,11 @@ def scanned(docs: DataFrame) -> DataFrame:
                                 extra.append((kind, x, y))
                     said = lambda spans: ",".join(f"{kinds[q]}:{a}:{b}" for q, a, b in sorted(spans))
                     n = [sum(q == z for q, _, _ in base) for z in range(4)]
-                    rows.append((*n, hashlib.sha256(said(base).encode()).hexdigest(), said(base + extra), len(extra)))
-                cols = list(zip(*rows, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([chunk.column("doc_id")] + [pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()], strict=True)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                    rows.append((*n, hashlib.sha256(said(base).encode()).hexdigest(), said(base + extra), len(extra), len(base) + len(extra)))
+                cols = list(zip(*rows, strict=True)) or [()] * 8
+                yield pa.RecordBatch.from_arrays([chunk.column("doc_id")] + [pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2, strict=True)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"])
 
-    return with_ids(docs, "doc_id", "text").mapInArrow(made, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return with_ids(docs, "doc_id", "text").mapInArrow(made, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
