@@ -298,6 +298,17 @@ def test_a_slow_writer_never_loses_its_version(make):
     assert sorted(r.Count for r in db["Fired"].query().collect()) == [1, 2]
 
 
+def test_commits_on_a_store_without_hard_links(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.far.link./x", f"file://{tmp_path}")
+    db = Database(spark, "viewfs://far/x/db", [TableSchema.from_dataclass(Fired)])
+    db["Fired"].append_many([Fired(1), Fired(2)])
+    assert db["Fired"].query().where(P.eq("Count", 1)).delete() == 1
+    with pytest.raises(FileExistsError):
+        db.files.create("_log/%020d.json" % 2, "another")
+    assert [r.Count for r in db["Fired"].query().collect()] == [2]
+    assert not [n for n in db.files.list("_log") if n.startswith(".")]
+
+
 def test_racing_processes_keep_every_commit(make):
     """X7 X8: two databases over one folder, each unaware of the other's commits"""
     import threading
