@@ -9,7 +9,7 @@ endlessly; its n slots take n blocks of equal words from it, together exactly it
 lie in by block number; what it gives is the sum over these pieces, and (slot, at) of the pieces is the order of the mix.
 
 Edge cases: empty or null text has size 0 and takes 0; a source without words has target 0; repeated rows are mixed as rows
-of their own; an empty table gives an empty result; other columns pass by untouched.
+of their own, and so are those with a null id; an empty table gives an empty result; other columns pass by untouched.
 """
 
 from __future__ import annotations
@@ -27,10 +27,20 @@ CELLS = 1024
 PHI = "0.6180339887498949"
 
 
-def word_count(text: str = "text"):
-    """Number of runs of anything but ASCII white space; null: 0. One code point is left of each word, the rest goes."""
-    kept = F.regexp_replace(F.trim(F.translate(F.col(text), "\t\n\x0b\x0c\r", "     ")), " +", " ")
-    return F.when(F.col(text).isNull() | (kept == ""), F.lit(0)).otherwise(F.length(kept) - F.length(F.replace(kept, F.lit(" "), F.lit(""))) + 1).cast("long")
+def with_word_count(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the number of runs of anything but ASCII white space in a column; null: 0. The column itself goes.
+
+    White space becomes single blanks by plain replacement; only where blanks then follow each other does a pattern run. Each step is a
+    projection of its own, so that none is worked out twice.
+    """
+    flat = F.col(text)
+    for c in "\t\n\x0b\x0c\r":
+        flat = F.replace(flat, F.lit(c), F.lit(" "))
+    flat_ = F.col(text)
+    docs = docs.withColumn(text, F.trim(flat))
+    docs = docs.withColumn(text, F.when(F.contains(flat_, F.lit("  ")), F.regexp_replace(flat_, " +", " ")).otherwise(flat_))
+    gaps = F.octet_length(flat_) - F.octet_length(F.replace(flat_, F.lit(" "), F.lit("")))
+    return docs.withColumn(name, F.when(flat_.isNull() | (flat_ == ""), F.lit(0)).otherwise(gaps + 1).cast("long")).drop(text)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -77,41 +87,58 @@ def mixed(docs: DataFrame, with_text: bool = True, slots: int = SLOTS) -> DataFr
     spark = docs.sparkSession
     made = ("size", "source_size", "target", "taken", "slots")
     own = [c for c in docs.columns if c not in made] if with_text else ["doc_id", "source"]
-    size_of = word_count()
-    cell = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("cell")), F.lit(CELLS)).cast("int")
+    # rows without an id are spread by their text
+    cell = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text")), F.lit("cell")), F.lit(CELLS)).cast("int")
+    fixed = {"row_": F.monotonically_increasing_id(), "id_": F.col("doc_id"), "source_": F.col("source"), "cell_": cell, "text_": F.col("text")}
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"own_{c}") for c in own], *[x.alias(c) for c, x in fixed.items()])
     # stored, so that row_ stays the same for each use
-    sized = stored(docs.select(*[F.col(f"`{c}`").alias(f"own_{c}") for c in own], F.monotonically_increasing_id().alias("row_"), F.col("doc_id").alias("id_"), F.col("source").alias("source_"), size_of.alias("size_"), cell.alias("cell_")))
-    small = stored(sized.groupBy(F.col("source_").alias("source"), F.col("cell_").alias("cell")).agg(F.sum("size_").alias("cell_size")))
+    sized = stored(with_word_count(rows, "text_", "size_"))
+    small = sized.groupBy(F.col("source_").alias("source"), F.col("cell_").alias("cell")).agg(F.sum("size_").alias("cell_size"))
+    small = stored(small)
     goals = stored(targets(small.groupBy("source").agg(F.sum("cell_size").cast("long").alias("source_size"))))
     dealt = stored(schedule(spark, goals, slots))
+    met = _on_lines(sized.select("row_", "id_", "source_", "cell_", "size_"), small, goals, dealt)
+    # block numbers, with one to spare on either side for rounding; pieces without words go
+    low, high = F.floor(F.col("begin") * F.col("n") / F.col("words")) - 1, F.floor(F.col("end") * F.col("n") / F.col("words")) + 1
+    ranks = F.sequence(F.greatest(low.cast("long"), F.lit(0).cast("long")), F.least(high.cast("long"), F.col("n") - 1))
+    met = met.withColumn("rank_", F.explode_outer(F.when(F.col("round").isNotNull(), ranks)))
+    blocks = dealt.select("slot", F.col("source").alias("s4"), F.col("rank").cast("long").alias("r4"), "from_word", "to_word")
+    met = met.join(F.broadcast(blocks), F.col("source_").eqNullSafe(F.col("s4")) & (F.col("rank_") == F.col("r4")), "left")
+    start = F.greatest("begin", "from_word")
+    piece = F.struct("slot", (start - F.col("from_word")).alias("at"), (F.least("end", "to_word") - start).alias("words"))
+    met = met.withColumn("piece", F.when(F.col("slot").isNotNull() & (piece["words"] > 0), piece))
+    taken = met.groupBy("row_", "id_", "source_", "size_", "source_size", "target").agg(
+        F.coalesce(F.sum("piece.words"), F.lit(0)).cast("long").alias("taken"), F.sort_array(F.collect_list("piece")).alias("slots")
+    )
+    if not with_text:
+        names = {"doc_id": "id_", "source": "source_", "size": "size_"}
+        return taken.select(*[F.col(c).alias(n) for n, c in names.items()], "source_size", "target", "taken", "slots")
+    taken = taken.select(F.col("row_").alias("row2_"), "source_size", "target", "taken", "slots")
+    both = sized.join(taken, F.col("row_") == F.col("row2_"))
+    return both.select(*[F.col(f"own_{c}").alias(c) for c in own], F.col("size_").alias("size"), "source_size", "target", "taken", "slots")
+
+
+def _on_lines(rows: DataFrame, small: DataFrame, goals: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Rows with where their words begin and end on their source's line, one for each round of the line that the blocks reach."""
     # a source's equal blocks, in rank order, fill [0, words) of its line
     filled = dealt.groupBy(F.col("source").alias("s3")).agg(F.max("to_word").alias("words"), F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = small.select(F.col("source").alias("s1"), F.col("cell").alias("c1"), F.coalesce(F.sum("cell_size").over(before), F.lit(0)).cast("long").alias("offset"))
-    offsets = offsets.join(goals.select(F.col("source").alias("s2"), "source_size", "target"), F.col("s1").eqNullSafe(F.col("s2")))
-    offsets = offsets.join(filled, F.col("s1").eqNullSafe(F.col("s3")), "left").select("s1", "c1", "offset", "source_size", "target", F.coalesce("words", F.lit(0)).alias("words"), "n")
-    inside = Window.partitionBy("source_", "cell_").orderBy(F.xxhash64("id_", F.lit("shuffle")), "id_", "size_").rowsBetween(Window.unboundedPreceding, -1)
-    met = sized.select("row_", "id_", "source_", "cell_", "size_").withColumn("at_", F.coalesce(F.sum("size_").over(inside), F.lit(0)).cast("long")).join(offsets, F.col("source_").eqNullSafe(F.col("s1")) & (F.col("cell_") == F.col("c1")))
+    offset = F.coalesce(F.sum("cell_size").over(before), F.lit(0)).cast("long").alias("offset")
+    cells = small.select(F.col("source").alias("s1"), F.col("cell").alias("c1"), offset)
+    cells = cells.join(goals.select(F.col("source").alias("s2"), "source_size", "target"), F.col("s1").eqNullSafe(F.col("s2")))
+    cells = cells.join(filled, F.col("s1").eqNullSafe(F.col("s3")), "left")
+    cells = cells.select("s1", "c1", "offset", "source_size", "target", F.coalesce("words", F.lit(0)).alias("words"), "n")
+    inside = Window.partitionBy("source_", "cell_").orderBy(F.xxhash64("id_", F.lit("shuffle")), "id_", "size_")
+    at = F.coalesce(F.sum("size_").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    met = rows.withColumn("at_", at).join(cells, F.col("source_").eqNullSafe(F.col("s1")) & (F.col("cell_") == F.col("c1")))
     # the row's words in each round that begins within [0, words), cut there
     first, total, words = F.col("offset") + F.col("at_"), F.col("source_size"), F.col("words")
-    rounds = F.when((F.col("size_") > 0) & (first < words), F.sequence(F.lit(0).cast("long"), F.floor((words - 1 - first) / total).cast("long")))
-    met = met.select("row_", "id_", "source_", "size_", "source_size", "target", "words", "n", first.alias("first"), F.explode_outer(rounds).alias("round"))
+    last = F.floor((words - 1 - first) / total).cast("long")
+    rounds = F.when((F.col("size_") > 0) & (first < words), F.sequence(F.lit(0).cast("long"), last))
+    kept = ("row_", "id_", "source_", "size_", "source_size", "target", "words", "n")
+    met = met.select(*kept, first.alias("first"), F.explode_outer(rounds).alias("round"))
     begin = F.col("first") + F.col("round") * total
-    met = met.withColumn("begin", begin).withColumn("end", F.least(begin + F.col("size_"), words))
-    # block numbers, with one to spare on either side for rounding; pieces without words go
-    low, high = F.floor(F.col("begin") * F.col("n") / words) - 1, F.floor(F.col("end") * F.col("n") / words) + 1
-    ranks = F.when(F.col("round").isNotNull(), F.sequence(F.greatest(low.cast("long"), F.lit(0).cast("long")), F.least(high.cast("long"), F.col("n") - 1)))
-    met = met.withColumn("rank_", F.explode_outer(ranks))
-    blocks = F.broadcast(dealt.select("slot", F.col("source").alias("s4"), F.col("rank").cast("long").alias("r4"), "from_word", "to_word"))
-    met = met.join(blocks, F.col("source_").eqNullSafe(F.col("s4")) & (F.col("rank_") == F.col("r4")), "left")
-    start = F.greatest("begin", "from_word")
-    piece = F.struct("slot", (start - F.col("from_word")).alias("at"), (F.least("end", "to_word") - start).alias("words"))
-    pieces = met.withColumn("piece", F.when(F.col("slot").isNotNull() & (piece["words"] > 0), piece)).groupBy("row_", "id_", "source_", "size_", "source_size", "target")
-    taken = pieces.agg(F.coalesce(F.sum("piece.words"), F.lit(0)).cast("long").alias("taken"), F.sort_array(F.collect_list("piece")).alias("slots"))
-    if not with_text:
-        return taken.select(F.col("id_").alias("doc_id"), F.col("source_").alias("source"), F.col("size_").alias("size"), "source_size", "target", "taken", "slots")
-    taken = taken.select(F.col("row_").alias("row2_"), "source_size", "target", "taken", "slots")
-    return sized.join(taken, F.col("row_") == F.col("row2_")).select(*[F.col(f"own_{c}").alias(c) for c in own], F.col("size_").alias("size"), "source_size", "target", "taken", "slots")
+    return met.withColumn("begin", begin).withColumn("end", F.least(begin + F.col("size_"), words))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
