@@ -46,21 +46,29 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_ROWS, _BYTES = (f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes"))
+BATCH_BYTES = 1 << 24
+
+
 def small_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Bounds what one Arrow batch holds; texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds the rows and bytes of an Arrow batch; texts may be long. Never raises the session's own bounds."""
+    for name, most in ((_ROWS, rows), (_BYTES, BATCH_BYTES)):
+        held = spark.conf.get(name)
+        # a size may have a unit; one of bytes is as it is read back
+        now = int(held.removesuffix("b")) if held.removesuffix("b").lstrip("-").isdigit() else 0
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
 
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
-    """Within it, Arrow batches of what is run have up to so many rows; the session's own setting returns."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """Within it, Arrow batches of what is run have up to so many rows, of BATCH_BYTES; the session's own setting returns."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(_ROWS, before)
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
