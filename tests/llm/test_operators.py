@@ -4,12 +4,17 @@ import collections
 import hashlib
 import random
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import components, decontamination, html_text, line_dedup, mixing, ngram_join, pii, quality, queries, secrets, suffix_dedup, url_filters
+from tidemark.llm.common import text_bytes
+from tidemark.llm.words import word_hashes
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -132,6 +137,68 @@ def test_line_dedup(spark, monkeypatch, run, spread, best):
     assert line_dedup.deduplicated(df.limit(0)).count() == 0
 
 
+def test_line_dedup_in_small_pieces(spark, monkeypatch):
+    """Labels that go on over many batches, with runs that outgrow RUN on the way, lose nothing."""
+    for name, value in (("RUN", 4), ("HELD", 8), ("HELD_BYTES", 1 << 11), ("LABELS", 1), ("SPREAD", 0), ("BEST", 1)):
+        monkeypatch.setattr(line_dedup, name, value)
+    r = random.Random(5)
+    t = texts(seed=4) + ["\n".join(" ".join(["rare", *(f"w{r.randrange(9)}" for _ in range(5))]) for _ in range(12)) for _ in range(40)]
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "3")
+    try:
+        got = {x["doc_id"]: x["lines"] for x in line_dedup.removed_lines(frame(spark, t)).collect()}
+    finally:
+        spark.conf.set(conf, before)
+    assert got == brute_lines(list(enumerate(t)), 80)
+
+
+def test_line_dedup_packs_entries(spark, monkeypatch):
+    """Entries go to Spark many to a row, whole again when unpacked; labels are dealt evenly."""
+    t = [f"{x}\n{' '.join(f'x{k}' for k in range(200))}" for x in texts(seed=3) if x]
+    data, bounds = text_bytes(pa.array(t))
+    part = list(line_dedup.index_entries(data, bounds, np.arange(len(t)), np.zeros(1 << 18, np.uint8), 80))
+    labels = line_dedup.labels_for(7, 2)
+    assert sorted(Counter(x[0] for x in spark.createDataFrame([(int(x),) for x in labels], "x int").select(F.expr("pmod(hash(x), 7)")).collect()).values()) == [2] * 7
+    n = sum(len(x[0]) for x in part)
+    rows = list(line_dedup.packed(part, labels))
+    assert sum(x.num_rows for x in rows) == 14 < n / 10
+    monkeypatch.setattr(line_dedup, "PACK", 3)
+    monkeypatch.setattr(line_dedup, "HELD", 50)
+    for rows in (rows, list(line_dedup.packed(part, labels))):
+        got, label_of = Counter(), {}
+        for x in rows:
+            y = line_dedup.Lines.unpacked(x["label"].to_numpy(), x["data"])
+            assert all(label_of.setdefault(a, b) == b for a, b in zip(y.token.tolist(), y.side.tolist(), strict=True))
+            width = line_dedup.sketch_words(y.n)
+            got.update((*z, y.words[a + 4 : a + 4 + w].tobytes()) for *z, a, w in zip(*(x.tolist() for x in (y.token, y.sig, y.doc, y.line, y.n, y.pos, y.at, width)), strict=True))
+        want = Counter()
+        for key, own, pos, words, begin in part:
+            for k, o, p in zip(key.tolist(), own.tolist(), pos.tolist(), strict=True):
+                sig, doc, third, _, *sketch = words[begin[o] : begin[o + 1]].tolist()
+                want[k, sig, doc, third >> 32, third & 0xFFFFFFFF, p, np.array(sketch, np.uint64).tobytes()] += 1
+        assert got == want and sum(got.values()) == n
+
+
+def test_word_hashes():
+    """Words of every length meet by their lower-cased bytes alone, wherever they stand."""
+    r = random.Random(6)
+    words = ["".join(r.choice("abAB\u00e9\u00c9Zz@[`{") for _ in range(r.choice([1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 200]))) for _ in range(3000)]
+    words += [x.swapcase() if x.isascii() else x for x in words]
+    t, at = [], 0
+    while at < len(words):
+        step = r.randrange(0, 9)
+        t.append("".join(r.choice([" ", "\t", "\n\x0b ", "\r\x0c"]) + x for x in words[at : at + step]) + r.choice(["", " "]))
+        at += step
+    data, bounds = text_bytes(pa.array(t))
+    h, starts, of = word_hashes(data, bounds)
+    want = [(k, x) for k, y in enumerate(t) for x in re.findall("[^\x20\x09-\x0d]+", y)]
+    assert of.tolist() == [k for k, _ in want]
+    low = [lower(x) for _, x in want]
+    assert len(set(zip(low, h.tolist(), strict=True))) == len(set(low)) == len(set(h.tolist()))
+    assert all(bytes(data[a : a + len(x.encode())]) == x.encode() for a, (_, x) in zip(starts.tolist(), want, strict=True))
+
+
 def brute_bytes(rows, w):
     count, data = collections.Counter(), [(i, (t or "").encode()) for i, t in rows]
     for _, b in data:

@@ -5,9 +5,9 @@ Jaccard similarity of `percent` hundredths or more, whether or not that one stay
 indexed under its prefix; lines that share a prefix token meet if the length and position filters and a parity sketch of a bit
 a token or more (whose differing bits never outnumber the differing tokens) allow it; what remains is verified on whole sets.
 
-Entries come sorted by token. Equal sets collapse while a token's run streams by: their first line alone stays in the run, the
-others are removed at once. The pairs of a run that length allows are looked at in blocks of at most PAIRS. A run of over RUN lines
-isn't paired there: its lines go out again, and squares of two blocks of them are dealt to many tasks. Each line takes its BEST
+Entries come packed, many to a row; rows come sorted by label, and all of a token's entries have one label. Equal sets collapse while
+a label's rows stream by: their first line alone stays in the token's run, the others are removed at once. The pairs of a run that
+length allows are looked at in blocks of at most PAIRS. A run of over RUN lines isn't paired there: its lines go out again, and squares of two blocks of them are dealt to many tasks. Each line takes its BEST
 nearest earlier ones; a line that had more and isn't removed by those is compared with all of them in a second pass, so no pair is lost.
 
 Edge cases: lines without words always stay; null and empty texts have no lines; rows with a null doc_id neither lose nor
@@ -36,6 +36,12 @@ SPREAD = 16
 PAIRS = 1 << 17
 #: Words of the widest sketch, 64 bits each.
 WIDEST = 64
+#: Labels for each task, and entries that are packed into a row at most.
+LABELS = 4
+PACK = 8192
+#: Bytes of entries that are held before they are packed, and entries that are held before they are paired.
+HELD_BYTES = 1 << 24
+HELD = 50_000
 _LINES = 1 << 16
 #: An entry's words: set digest, document, line << 32 | set size, late << 32 | position; the sketch follows.
 _HEAD = 4
@@ -43,12 +49,13 @@ _HEAD = 4
 
 def line_bounds(data: np.ndarray, bounds: np.ndarray):
     """Begin of every line of texts in a row, and text and number of each."""
-    cut = np.flatnonzero(data == 10) + 1
-    of = np.concatenate([np.arange(len(bounds) - 1), np.searchsorted(bounds, cut - 1, "right") - 1])
-    start = np.concatenate([bounds[:-1], cut])
-    order = np.lexsort((start, of))
-    of, start = of[order], start[order]
-    first = np.searchsorted(of, np.arange(len(bounds) - 1))
+    cut = np.flatnonzero(data == 10)
+    lines = np.diff(np.searchsorted(cut, bounds)) + 1
+    first = np.cumsum(lines) - lines
+    start, later = np.empty(int(lines.sum()), np.int64), np.ones(int(lines.sum()), bool)
+    later[first] = False
+    start[first], start[later] = bounds[:-1], cut + 1
+    of = np.repeat(np.arange(len(lines)), lines)
     return start, of, np.arange(len(of)) - first[of]
 
 
@@ -71,8 +78,8 @@ def _sketches(token: np.ndarray, begin: np.ndarray, n: np.ndarray, width: np.nda
 
 
 def index_entries(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, level: np.ndarray, percent: int, wanted=None):
-    """Prefix entries of all lines, in parts: tokens, words of all entries, and where each entry's begin. wanted: bitmaps of tokens to
-    make entries of, and of lines to mark as late."""
+    """Prefix entries of all lines, in parts: token, line and position of each entry, words of all lines, and where each line's begin.
+    wanted: bitmaps of tokens to make entries of, and of lines to mark as late."""
     start, of, number = line_bounds(data, bounds)
     h, _, line = word_hashes(data, np.append(start, len(data)))
     for l0 in range(0, len(start), _LINES):
@@ -100,15 +107,14 @@ def index_entries(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, level:
             keep = _in(wanted[0], key.astype(np.int64))
             key, pos, own = key[keep], pos[keep], own[keep]
             late = _in(wanted[1], _line_ids(doc[of[where]], number[where])).astype(np.uint64)
-        w = width[own]
-        begins = np.cumsum(w + _HEAD) - w - _HEAD
-        out = np.empty(int((w + _HEAD).sum()), np.uint64)
-        out[begins], out[begins + 1] = sig[own], doc[of[where]].view(np.uint64)[own]
-        out[begins + 2] = ((number[where].astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64))[own]
-        out[begins + 3] = (late[own] << np.uint64(32)) | pos.astype(np.uint64)
-        step = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-        out[np.repeat(begins + _HEAD, w) + step] = sketch[np.repeat(sketch_at[own], w) + step]
-        yield key, out, np.append(begins, len(out))
+        begins = np.append(0, np.cumsum(width + _HEAD))
+        out = np.empty(begins[-1], np.uint64)
+        head = begins[:-1]
+        out[head], out[head + 1] = sig, doc[of[where]].view(np.uint64)
+        out[head + 2] = (number[where].astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64)
+        out[head + 3] = late << np.uint64(32)
+        out[np.arange(len(sketch)) + np.repeat(head + _HEAD - sketch_at, width)] = sketch
+        yield key, own, pos, out, begins
 
 
 def _in(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -128,20 +134,79 @@ def rarity_levels(docs: DataFrame):
     return docs.sparkSession.sparkContext.broadcast(level)
 
 
-def entries(docs: DataFrame, percent: int, rarity, wanted=None) -> DataFrame:
-    """(token, data): prefix entries of all lines; wanted as in index_entries, broadcast."""
+def _dealt_to(x: np.ndarray, tasks: int) -> np.ndarray:
+    """Where Spark's hash partitioning puts ints: Murmur3, seed 42. Only the evenness of labels rests on it."""
+    turned = lambda y, k: (y << np.uint32(k)) | (y >> np.uint32(32 - k))
+    y = turned(x.astype(np.int32).view(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    y = (turned(y ^ np.uint32(42), 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+    y = (y ^ (y >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    y = (y ^ (y >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (y ^ (y >> np.uint32(16))).view(np.int32).astype(np.int64) % tasks
+
+
+def labels_for(tasks: int, each: int) -> np.ndarray:
+    """Ints of which each of so many tasks gets as many."""
+    to = _dealt_to(np.arange(tasks * (4 * each + 32)), tasks)
+    order = np.argsort(to, kind="stable")
+    nth = np.arange(len(to)) - np.searchsorted(to[order], to[order])
+    return np.sort(order[nth < each]).astype(np.int32)
+
+
+def packed(some: list[tuple], labels: np.ndarray):
+    """Parts that index_entries made -> batches of (label, data). A row's words: the number of its entries, token << 32 | length of
+    each, and the entries' own: those of the line, with the position."""
+    key, pos, words = (np.concatenate([x[k] for x in some]) for k in (0, 2, 3))
+    lines = np.cumsum([0, *(len(x[4]) - 1 for x in some)])
+    own = np.concatenate([x[1] + k for x, k in zip(some, lines, strict=False)])
+    long = np.concatenate([np.diff(x[4]) for x in some])
+    width, at = long[own], (np.cumsum(long) - long)[own]
+    group = (mixed(key.view(np.uint32).astype(np.uint64)) % np.uint64(len(labels))).astype(np.int32)
+    order = np.argsort(group, kind="stable")
+    for a in range(0, len(order), HELD):
+        pick = order[a : a + HELD]
+        g, w = group[pick], width[pick]
+        new = np.concatenate([[True], g[1:] != g[:-1]])
+        new[::PACK] = True
+        first = np.flatnonzero(new)
+        m = np.diff(np.append(first, len(pick)))
+        done = np.cumsum(w) - w
+        # a row begins behind the words of the entries before it, two words an entry and one a row
+        begin = done[first] + first + np.arange(len(first))
+        row = np.repeat(np.arange(len(first)), m)
+        out = np.empty(int(w.sum()) + len(pick) + len(first), np.uint64)
+        out[begin] = m
+        out[np.arange(len(pick)) + done[first][row] + row + 1] = (key[pick].view(np.uint32).astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)
+        step, to = np.arange(w.sum()), (first + m)[row] + row + 1
+        out[step + np.repeat(to, w)] = words[step + np.repeat(at[pick] - done, w)]
+        out[done + to + 3] |= pos[pick].astype(np.uint64)
+        buffers = [None, pa.py_buffer((np.append(begin, len(out)) * 8).astype(np.int32)), pa.py_buffer(out)]
+        yield pa.RecordBatch.from_arrays([pa.array(labels[g[first]]), pa.Array.from_buffers(pa.binary(), len(first), buffers)], ["label", "data"])
+
+
+def entries(docs: DataFrame, percent: int, rarity, labels: np.ndarray, wanted=None) -> DataFrame:
+    """(label, data): prefix entries of all lines, packed; wanted as in index_entries, broadcast."""
 
     def made(batches):
+        held, size = [], 0
         for batch in batches:
             for chunk in in_chunks(batch, "text", 1 << 19):
                 doc = chunk.column("doc_id").to_numpy()
-                for key, words, at in index_entries(*text_bytes(chunk.column("text")), doc, rarity.value, percent, wanted and wanted.value):
-                    for a in range(0, len(key), 50_000):
-                        b = min(len(key), a + 50_000)
-                        buffers = [None, pa.py_buffer(((at[a : b + 1] - at[a]) * 8).astype(np.int32)), pa.py_buffer(words[at[a] : at[b]])]
-                        yield pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.Array.from_buffers(pa.binary(), b - a, buffers)], ["token", "data"])
+                for part in index_entries(*text_bytes(chunk.column("text")), doc, rarity.value, percent, wanted and wanted.value):
+                    held.append(part)
+                    size += 8 * int(np.diff(part[4])[part[1]].sum())
+                    if size >= HELD_BYTES:
+                        yield from packed(held, labels)
+                        held, size = [], 0
+        if held:
+            yield from packed(held, labels)
+
+    return with_ids(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(made, "label int, data binary")
+
 
-    return with_ids(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(made, "token int, data binary")
+def _words_of(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a binary column's values, and where each value begins in them."""
+    offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    return np.frombuffer(bytearray(memoryview(data.buffers()[2])[offsets[0] : offsets[-1]]), np.uint64), (offsets[:-1] - offsets[0]) // 8
 
 
 class Lines:
@@ -155,14 +220,29 @@ class Lines:
 
     @classmethod
     def of(cls, token: np.ndarray, data: pa.Array, side: np.ndarray | None = None) -> Lines:
-        offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
-        words = np.frombuffer(bytearray(memoryview(data.buffers()[2])[offsets[0] : offsets[-1]]), np.uint64)
-        at = (offsets[:-1] - offsets[0]) // 8
+        words, at = _words_of(data)
+        return cls.at_places(token, words, at, np.zeros(len(at), np.int64) if side is None else side)
+
+    @classmethod
+    def unpacked(cls, label: np.ndarray, data: pa.Array) -> Lines:
+        """Rows that packed() made; the label is the side."""
+        words, begin = _words_of(data)
+        m = words[begin].astype(np.int64)
+        row = np.repeat(np.arange(len(m)), m)
+        first = np.cumsum(m) - m
+        index = words[np.arange(len(row)) - first[row] + begin[row] + 1]
+        width = (index & np.uint64((1 << 32) - 1)).astype(np.int64)
+        done = np.concatenate([[0], np.cumsum(width)])
+        at = done[:-1] - done[first][row] + (begin + 1 + m)[row]
+        return cls.at_places((index >> np.uint64(32)).astype(np.uint32).view(np.int32), words, at, label.astype(np.int64)[row])
+
+    @classmethod
+    def at_places(cls, token: np.ndarray, words: np.ndarray, at: np.ndarray, side: np.ndarray) -> Lines:
         low = np.uint64((1 << 32) - 1)
         third, fourth = words[at + 2], words[at + 3]
         split = lambda x: ((x >> np.uint64(32)).astype(np.int64), (x & low).astype(np.int64))
         (line, n), (late, pos) = split(third), split(fourth)
-        return cls(words, token=token.astype(np.int64), sig=words[at], doc=words[at + 1].view(np.int64), line=line, n=n, pos=pos, late=late, side=np.zeros(len(at), np.int64) if side is None else side, at=at)
+        return cls(words, token=token.astype(np.int64), sig=words[at], doc=words[at + 1].view(np.int64), line=line, n=n, pos=pos, late=late, side=side, at=at)
 
     def __len__(self) -> int:
         return len(self.at)
@@ -200,7 +280,14 @@ class Lines:
 
 def _collapsed(x: Lines) -> tuple[Lines, Lines]:
     """The first line of each set and token, and the others."""
-    order = np.lexsort((x.line, x.doc, x.sig, x.token))
+    key = (x.token.astype(np.uint64) << np.uint64(32)) | (x.sig >> np.uint64(32))
+    order = np.argsort(key)
+    key = key[order]
+    same = np.concatenate([key[1:] == key[:-1], [False]])
+    several = np.flatnonzero(same | np.concatenate([[False], same[:-1]])) if len(key) else order
+    if len(several):
+        some = order[several]
+        order[several] = some[np.lexsort((x.line[some], x.doc[some], x.sig[some], key[several]))]
     token, sig = x.token[order], x.sig[order]
     new = np.ones(len(order), bool)
     new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
@@ -221,27 +308,28 @@ def _apart(x: Lines, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _pairs(x: Lines, percent: int, cross: bool):
     """(late, early, differing bits) of entries of one token whose lines are candidates, blocks of at most PAIRS; cross: of different sides."""
-    order = np.lexsort((x.n, x.token))
-    x = x.take(order)
     run = np.cumsum(np.concatenate([[0], x.token[1:] != x.token[:-1]])) if len(x) else x.token
+    key = (run << 32) | x.n
+    order = np.argsort(key, kind="stable")
+    x, run, key = x.take(order), run[order], key[order]
     fold = x.folds()
     # partners of a line follow it, up to the largest size allowed
-    key = (run << 32) | x.n
     stop = np.searchsorted(key, (run << 32) | (x.n * 100 // percent), "right")
     count = stop - np.arange(len(x)) - 1
     total = np.concatenate([[0], np.cumsum(count)])
     for p0 in range(0, int(total[-1]), PAIRS):
-        p = np.arange(p0, min(p0 + PAIRS, int(total[-1])))
-        i = np.searchsorted(total, p, "right") - 1
-        j = i + 1 + p - total[i]
+        p1 = min(p0 + PAIRS, int(total[-1]))
+        a, b = np.searchsorted(total, (p0, p1 - 1), "right") - 1
+        i = np.repeat(np.arange(a, b + 1), np.minimum(total[a + 1 : b + 2], p1) - np.maximum(total[a : b + 1], p0))
+        j = i + 1 + np.arange(p0, p1) - total[i]
         both = x.n[i] + x.n[j]
         need = needed(both, 0, percent)
         ok = np.bitwise_count(fold[i] ^ fold[j]) <= both - 2 * need
         if cross:
             ok &= x.side[i] != x.side[j]
         i, j, both, need = i[ok], j[ok], both[ok], need[ok]
-        p1, p2 = x.pos[i], x.pos[j]
-        ok = np.minimum(p1, p2) + np.minimum(x.n[i] - p1, x.n[j] - p2) >= need
+        one, two = x.pos[i], x.pos[j]
+        ok = np.minimum(one, two) + np.minimum(x.n[i] - one, x.n[j] - two) >= need
         i, j, both, need = i[ok], j[ok], both[ok], need[ok]
         far = _apart(x, i, j)
         ok = far <= both - 2 * need
@@ -293,47 +381,63 @@ def _sent(x: Lines, percent: int, best: int, cross: bool = False):
 
 
 def candidates(sorted_entries: DataFrame, percent: int, best: int) -> DataFrame:
-    """Entries sorted by token -> kind 0: (doc, line) equals an earlier line; 1: compare with (doc2, line2), far bits of their sketches
-    differ; 2: more than `best` candidates under token; 3: an entry of a run of over RUN lines, not paired here."""
+    """Packed entries sorted by label -> kind 0: (doc, line) equals an earlier line; 1: compare with (doc2, line2), far bits of their
+    sketches differ; 2: more than `best` candidates under token; 3: an entry of a run of over RUN lines, not paired here."""
 
-    def made(batches):
-        held, size, over = [], 0, None  # over: the token whose run goes out as kind 3
+    def pieces(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = Lines.of(batch.column("token").to_numpy(), batch.column("data"))
-            if over is not None:
-                on = x.token == over
+            size = np.diff(np.frombuffer(batch.column("data").buffers()[1], np.int32)[batch.column("data").offset :][: batch.num_rows + 1]) if batch.num_rows else []
+            part = np.cumsum(size) // (1 << 21)
+            cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if a < b:
+                    yield Lines.unpacked(batch.column("label").to_numpy()[a:b], batch.column("data").slice(a, b - a))
+
+    def made(batches):
+        held, size, most = [], 0, HELD
+        over, label = np.zeros(0, np.int64), None  # over: tokens of the label whose runs go out as kind 3
+        for x in pieces(batches):
+            if len(over):
+                on = (x.side == label) & np.isin(x.token, over)
                 first, again = _collapsed(x.take(on))
                 yield from _rows(0, again, np.flatnonzero(again.pos == 0))
                 yield from _rows(3, first, np.arange(len(first)), data=True)
-                if on.all():
-                    continue
-                x, over = x.take(~on), None
+                x = x.take(~on)
+            if not len(x):
+                continue
             held.append(x)
             size += len(x)
-            if size < 50_000:
+            if size < most:
                 continue
+            now = int(x.side[-1])
             x, again = _collapsed(Lines.joined(held))
             yield from _rows(0, again, np.flatnonzero(again.pos == 0))
-            cut = int(np.searchsorted(x.token, x.token[-1]))
-            if cut:
-                yield from whole(x.take(slice(0, cut)))
-            x = x.take(slice(cut, None))
-            if len(x) > RUN:
-                yield from _rows(3, x, np.arange(len(x)), data=True)
-                over, held, size = int(x.token[0]), [], 0
-            else:
-                held, size = [Lines.joined([x, x.take(slice(0, 0))])], len(x)
+            done = x.side != now
+            yield from whole(x.take(done))
+            x = x.take(~done)
+            if now != label:
+                over, label = np.zeros(0, np.int64), now
+            long = _long(x)
+            if long.any():
+                yield from _rows(3, x, np.flatnonzero(long), data=True)
+                over = np.concatenate([over, np.unique(x.token[long])])
+                x = x.take(~long)
+            held, size = [Lines.joined([x, x.take(slice(0, 0))])] if len(x) else [], len(x)
+            # a label of many tokens isn't sorted again for each piece
+            most = max(HELD, 2 * size)
         if held:
             x, again = _collapsed(Lines.joined(held))
             yield from _rows(0, again, np.flatnonzero(again.pos == 0))
             yield from whole(x)
 
+    def _long(x: Lines) -> np.ndarray:
+        """Which entries, in order of token, are of runs of over RUN."""
+        cut = np.concatenate([[0], np.flatnonzero(x.token[1:] != x.token[:-1]) + 1, [len(x)]])
+        return np.repeat(np.diff(cut) > RUN, np.diff(cut))
+
     def whole(x: Lines):
         """All of some runs."""
-        cut = np.concatenate([[0], np.flatnonzero(x.token[1:] != x.token[:-1]) + 1, [len(x)]])
-        long = np.repeat(np.diff(cut) > RUN, np.diff(cut))
+        long = _long(x)
         if long.any():
             yield from _rows(3, x, np.flatnonzero(long), data=True)
             x = x.take(~long)
@@ -452,9 +556,10 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def _found(docs: DataFrame, percent: int, best: int, rarity, wanted=None) -> DataFrame:
     spark = docs.sparkSession
     # a line has many entries: their tasks are half as large as others
-    dealt = entries(docs, percent, rarity, wanted).repartition(2 * parts(spark), "token").sortWithinPartitions("token")
+    tasks = 2 * parts(spark)
+    dealt = entries(docs, percent, rarity, labels_for(tasks, LABELS), wanted).repartition(tasks, "label").sortWithinPartitions("label")
+    found = stored(candidates(dealt, percent, best))
     with batches_of(spark, 20_000):
-        found = stored(candidates(dealt, percent, best))
         long = found.where("kind = 3")
         if long.isEmpty():
             return found
@@ -509,6 +614,6 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers from 0), a row per document."""
     docs = table(spark, sf_dir, "documents")
     gone = removed_lines(docs).select(F.col("doc_id").alias("doc_id_"), "lines")
-    n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit(0)).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
+    n_lines = F.when(F.coalesce(F.octet_length("text"), F.lit(0)) == 0, F.lit(0)).otherwise(F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
     counted = docs.select("doc_id", n_lines.cast("long").alias("n_lines"))
     return counted.join(gone, F.col("doc_id") == F.col("doc_id_"), "left").select("doc_id", "n_lines", F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_removed"), F.coalesce("lines", F.array().cast("array<int>")).alias("removed"))
