@@ -90,6 +90,36 @@ def test_ngram_join_families(spark, monkeypatch, small, block, rounds):
     assert got == want and len({c for k, (_, c) in want.items() if k >= 60}) > 10
 
 
+def test_ngram_join_sends_no_groups_out_of_reach(spark, monkeypatch):
+    """Texts that share a passage, but fewer shingles than any link needs, go before hubs are made; near copies stay."""
+    # an order by hash alone leaves the shingles that are shared in prefixes
+    monkeypatch.setattr(ngram_join, "frequency_sketch", lambda spark, docs, hashes_of, bits: np.ones(1 << bits, np.int64))
+    t = [" ".join([*(f"u{k}x{j}" for j in range(80)), *(f"p{k // 2}x{j}" for j in range(10))]) for k in range(24)]
+    w = [f"d{j}" for j in range(90)]
+    t += [" ".join(w), " ".join([*w, "more"])]
+    sent, real = [], ngram_join.with_hubs
+    monkeypatch.setattr(ngram_join, "with_hubs", lambda shared: sent.append(shared.select("gid").distinct().count()) or real(shared))
+    got = {x[0]: (x[1], x[2]) for x in ngram_join.joined(frame(spark, t), 4, 85).collect()}
+    assert got == brute_components(list(enumerate(t)), 4, 85) and got[25][1] == 24
+    assert sent == [2]
+
+
+def test_ngram_join_only_cut_squares_go_again(spark, monkeypatch):
+    """A family whose pairs were all sent is not dealt out in the next round, though its classes are in different components."""
+    for name, value in (("SMALL", 2), ("ROUNDS", (1, 0))):
+        monkeypatch.setattr(ngram_join, name, value)
+    # one word differs, each time another: all pairs are just below the threshold, and sketches let some of them pass
+    base = [f"w{k}" for k in range(90)]
+    t = [" ".join([*base[:k], f"v{k}", *base[k + 1 :]]) for k in range(3, 87, 4)]
+    far = [f"y{k}" for k in range(87)]
+    t += [" ".join([*far, *(f"z{k}x{j}" for j in range(13))]) for k in range(4)]
+    dealt, real = [], ngram_join.square_pairs
+    monkeypatch.setattr(ngram_join, "square_pairs", lambda rows, percent, best: dealt.append({x[0] for x in rows.select("hub").distinct().collect()}) or real(rows, percent, best))
+    got = {x[0]: (x[1], x[2]) for x in ngram_join.joined(frame(spark, t), 4, 85).collect()}
+    assert got == brute_components(list(enumerate(t)), 4, 85)
+    assert len(dealt) == 2 and dealt[1] and dealt[1] < dealt[0]
+
+
 def test_ngram_join_repeated_rows_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (0, "a b c d e f")], "doc_id long, text string")
     assert sorted(((r[0], r[2]) for r in ngram_join.joined(df).collect()), key=str) == [(0, 0), (1, 0), (1, 0), (None, None)]

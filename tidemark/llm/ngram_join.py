@@ -3,15 +3,17 @@
 A document's set holds its distinct n-word shingles. Equal sets are one class from the start. Classes of equal size and equal
 prefix are one group, and only groups meet: by a shared prefix shingle (prefixes under the global rarity order of words.py),
 then by length and position filters. Prefixes are longer than one common shingle needs, by a share of the set's size, and a pair
-must then share as many shingles more: long texts with one passage in common don't meet. A parity sketch of about four bits a
-shingle, whose differing bits never outnumber the differing shingles, rules most pairs out; whole sets of the others are compared.
+must then share as many shingles more: long texts with one passage in common don't meet, and a group whose prefix shares fewer
+shingles with all others together has no link and goes at once. A parity sketch of one to two bits a shingle, whose differing bits
+never outnumber the differing shingles, rules most pairs out; whole sets of the others are compared.
 
 What is asked for is each document's component, so links inside a component need not all be found. The first pass tries each
 group against one or two hubs of each shingle it shares: linear in the entries. What then is left are pairs of classes in different
 components. A shingle of up to SMALL classes pairs them as they are. The classes of all larger ones are gathered by hub, once for
 all shingles of that hub, as families; a family is dealt out in squares of at most two blocks, and within a square sketches are
 compared by numpy, so a pair that they rule out is no row of any join. The first rounds send, for each class and component, the
-nearest pairs only; components merge; the last round sends every pair that still crosses. After it no link is missing.
+nearest pairs only; components merge; the last round sends every pair that still crosses. Only squares that held pairs back go
+through another round. After it no link is missing.
 
 Edge cases: null or empty texts, or texts of white space, have size 0 and are linked with nothing; null ids keep a row with a
 null component and link nothing; repeated rows are of one class; empty tables give empty results; other columns are not read.
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batches_of, in_chunks, parts, small_batches, stored, table, text_bytes, with_ids
@@ -66,8 +68,8 @@ def prefix_length(n, percent: int):
 
 
 def sketch_bits(n: int) -> int:
-    """A power of two, at least four times n but for very large sets."""
-    return min(64 * WIDEST, 1 << max(6, (4 * n - 1).bit_length()))
+    """A power of two, at least n but for very large sets."""
+    return min(64 * WIDEST, 1 << max(6, (n - 1).bit_length()))
 
 
 def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -158,16 +160,23 @@ def shared_entries(entries: DataFrame) -> DataFrame:
     return entries.mapInArrow(made, "token int, gid long, n int, pos int, m int")
 
 
+def within_reach(shared: DataFrame, percent: int) -> DataFrame:
+    """Shared entries of the groups that share as many as a similar pair must, with that number. A group's smallest similar set has
+    `percent` of its size, and each shingle that the two share is shared by the group."""
+    least = F.expr(f"1 + ((cast(n as bigint) * {percent} + 99) div 100) div {COMMON}")
+    return shared.withColumn("shares", F.count("*").over(Window.partitionBy("gid")).cast("int")).where(F.col("shares") >= least)
+
+
 def with_hubs(shared: DataFrame) -> DataFrame:
-    """Each entry with its token's hub, lowest group and number of classes. The hub is the group that shares the most of its prefix,
-    so that near copies of one text meet in one hub under nearly all their tokens. Hubs come from a pre-aggregation by token."""
-    central = shared.groupBy("gid").agg((F.count("*") / F.max("n")).alias("central")).withColumnRenamed("gid", "gid_")
-    ranked = shared.join(central, F.col("gid") == F.col("gid_")).select("token", "gid", "n", "pos", "m", "central")
-    one = F.struct("gid", "n", "pos")
-    hubs = ranked.groupBy(F.col("token").alias("token_")).agg(
-        F.max_by(one, F.struct("central", F.negative("gid"))).alias("hub"), F.min_by(one, "gid").alias("low"), F.sum("m").alias("total")
+    """Each entry with its token's hub, lowest group and number of classes; entries whose token has no other group go. The hub is the
+    group that shares the most of its prefix, so that near copies of one text meet in one hub under nearly all their tokens."""
+    # the greatest ~gid is the least gid; where one entry is both, its bytes repeat and compress
+    one = (F.bitwise_not("gid").alias("inv"), "n", "pos")
+    hubs = shared.groupBy(F.col("token").alias("token_")).agg(
+        F.max(F.struct((F.col("shares") / F.col("n")).cast("float").alias("central"), *one)).alias("hub"), F.max(F.struct(*one)).alias("low"), F.sum("m").alias("total"), F.count("*").alias("rows")
     )
-    return shared.join(hubs, F.col("token") == F.col("token_")).drop("token_")
+    named = [F.struct(F.bitwise_not(f"{x}.inv").alias("gid"), f"{x}.n", f"{x}.pos").alias(x) for x in ("hub", "low")]
+    return shared.join(hubs.where("rows > 1").select("token_", *named, "total"), F.col("token") == F.col("token_")).drop("token_", "shares")
 
 
 def hub_pairs(met: DataFrame, percent: int) -> DataFrame:
@@ -267,10 +276,10 @@ def _nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray, best: int) -> np.nda
 
 
 def square_pairs(rows: DataFrame, percent: int, best: int) -> DataFrame:
-    """Rows (hub, x, y, side, cls, comp, n, sketch), a square's together -> (a, b, cut): pairs of classes in different components that size
-    and sketch allow, of each class the `best` nearest (0: all); cut: the square had more."""
+    """Rows (hub, x, y, side, cls, comp, n, sketch), a square's together -> (hub, x, y, a, b, cut): pairs of classes in different components
+    that size and sketch allow, of each class the `best` nearest (0: all); cut: the square had more."""
 
-    def square(held):
+    def square(key, held):
         cls, comp, n, side = (np.concatenate([h[k] for h in held]) for k in range(4))
         sketch = [s for h in held for s in h[4]]
         if (comp == comp[0]).all():
@@ -287,7 +296,8 @@ def square_pairs(rows: DataFrame, percent: int, best: int) -> DataFrame:
         def out(a, b, cut):
             for k in range(0, len(a), 50_000):
                 s = slice(k, k + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[s], b[s])), pa.array(np.maximum(a[s], b[s])), pa.array(np.full(len(a[s]), cut))], ["a", "b", "cut"])
+                place = [pa.array(np.full(len(a[s]), v)) for v in key]
+                yield pa.RecordBatch.from_arrays([*place, pa.array(np.minimum(a[s], b[s])), pa.array(np.maximum(a[s], b[s])), pa.array(np.full(len(a[s]), cut))], ["hub", "x", "y", "a", "b", "cut"])
 
         for left, right, same, strict in turns:
             for i, j, d in near_pairs(left, right, percent, same, strict):
@@ -319,28 +329,31 @@ def square_pairs(rows: DataFrame, percent: int, best: int) -> DataFrame:
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 key = (hub[a], x[a], y[a])
                 if key != last and held:
-                    yield from square(held)
+                    yield from square(last, held)
                     held = []
                 last = key
                 held.append((cls[a:b], comp[a:b], n[a:b], side[a:b], sketch[a:b], x[a] == y[a]))
         if held:
-            yield from square(held)
+            yield from square(last, held)
 
-    return rows.mapInArrow(made, "a long, b long, cut boolean")
+    return rows.mapInArrow(made, "hub long, x int, y int, a long, b long, cut boolean")
 
 
-def crossing(kin: DataFrame, placed: DataFrame, members: DataFrame, percent: int, best: int) -> DataFrame:
-    """Families kin(gid, hub), classes' components placed(cls, gid, n, comp) -> pairs (a, b, cut) to try, from families of more than one
-    component. Blocks grow with the root of the family, so rows that are sent grow less than its square."""
+def crossing(kin: DataFrame, placed: DataFrame, reps: DataFrame, percent: int, best: int, only: DataFrame | None = None) -> DataFrame:
+    """Families kin(gid, hub), classes' components placed(cls, gid, n, comp) -> pairs (hub, x, y, a, b, cut) to try, from families of more
+    than one component; only: from the squares (hub, x, y) that it names. Blocks grow with the root of the family, so rows that are sent
+    grow less than its square. A class's square is a function of the family's size and its own digest, and so the same in all rounds."""
     spark = kin.sparkSession
     family = kin.join(placed.select("gid", "cls", "comp", "n"), "gid").select("hub", "cls", "comp", "n")
     block = F.greatest(F.lit(float(BLOCK[0])), F.least(F.lit(float(BLOCK[1])), BLOCK[2] * F.sqrt("size")))
     large = family.groupBy(F.col("hub").alias("hub_")).agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     large = large.where("lo <> hi").select("hub_", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     rows = family.join(large, F.col("hub") == F.col("hub_")).withColumn("own", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
-    rows = rows.join(members.select(F.col("cls").alias("cls_"), "sketch"), F.col("cls") == F.col("cls_"))
-    rows = rows.select("hub", "cls", "comp", "n", "sketch", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    rows = rows.select("hub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "comp", "n", "sketch")
+    rows = rows.select("hub", "cls", "comp", "n", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    rows = rows.select("hub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "comp", "n")
+    if only is not None:
+        rows = rows.join(only, ["hub", "x", "y"], "left_semi")
+    rows = rows.join(reps.select(F.col("cls").alias("cls_"), "sketch"), F.col("cls") == F.col("cls_")).drop("cls_")
     rows = rows.repartition(parts(spark), "hub", "x", "y").sortWithinPartitions("hub", "x", "y")
     return square_pairs(rows, percent, best)
 
@@ -353,7 +366,7 @@ def _folded(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def plausible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Of pairs(a, b) of classes those whose sketches don't rule them out."""
 
     def near(batches):
@@ -369,8 +382,8 @@ def plausible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             most = n1 + n2 - 2 * overlap_needed(n1, n2, percent)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(far <= most))
 
-    one = members.select(F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("k1"))
-    two = members.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("k2"))
+    one = reps.select(F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("k1"))
+    two = reps.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("k2"))
     return pairs.where("a <> b").join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "k1", "k2").mapInArrow(near, "a long, b long")
 
 
@@ -418,31 +431,37 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     live = f.where("n > 0 and doc_id is not null")
     one = F.first(F.struct("n", F.xxhash64("n", "prefix").alias("key"), "sketch", "prefix")).alias("x")
     reps = stored(live.groupBy("cls").agg(F.min("doc_id").alias("rep"), one).select("cls", "rep", "x.*"))
-    # groups: equal size, equal prefix; named by their least class, whose prefix is theirs
-    groups = reps.groupBy("key").agg(F.min("cls").alias("gid"), F.count("*").cast("int").alias("m"))
-    members = stored(reps.join(groups, "key").select("cls", "rep", "gid", "m", "n", "sketch", F.when(F.col("cls") == F.col("gid"), F.col("prefix")).alias("prefix")))
-    entries = members.where("cls = gid").select("gid", "n", "m", F.posexplode("prefix").alias("pos", "token"))
+    # groups: equal size, equal prefix; named by their least class, whose prefix is theirs. Those of one class are many and not sent.
+    several = stored(reps.groupBy("key").agg(F.min("cls").alias("gid"), F.count("*").cast("int").alias("m")).where("m > 1"))
+
+    def grouped(*columns):
+        own = [F.coalesce("gid", "cls").alias("gid"), F.coalesce("m", F.lit(1)).alias("m")]
+        return reps.select("key", "cls", *columns).join(several, "key", "left").select("cls", *own, *columns)
+
+    members = stored(grouped("rep", "n"))
+    entries = grouped("n", "prefix").where("cls = gid").select("gid", "n", "m", F.posexplode("prefix").alias("pos", "token"))
     entries = entries.select("token", "gid", F.col("n").cast("int").alias("n"), "pos", "m").repartition(parts(spark), "token").sortWithinPartitions("token")
     with batches_of(spark, 20_000):
-        shared = stored(shared_entries(entries))
+        shared = stored(within_reach(shared_entries(entries), percent))
     met = stored(with_hubs(shared))
     inside = members.where("cls <> gid").select(F.least("cls", "gid").alias("a"), F.greatest("cls", "gid").alias("b"))
-    first = plausible(hub_pairs(met, percent).unionByName(inside), members, percent)
+    first = plausible(hub_pairs(met, percent).unionByName(inside), reps, percent)
     links = verified(docs, members, stored(first), size, percent)
     comp = components(links).select(F.col("node").alias("cls_"), "component")
     placed = members.select("cls", "gid", "n").join(comp, F.col("cls") == F.col("cls_"), "left")
     placed = stored(placed.select("cls", "gid", "n", F.coalesce("component", "cls").alias("comp")))
     kin = met.where(F.col("total") > SMALL).select("gid", F.col("hub.gid").alias("hub"))
     kin = stored(kin.unionByName(members.where("m > 1").select("gid", F.col("gid").alias("hub"))).distinct())
+    only = None
     for turn, best in enumerate(ROUNDS):
         with batches_of(spark, 2_000):
-            sent = stored(crossing(kin, placed, members, percent, best))
+            sent = stored(crossing(kin, placed, reps, percent, best, only))
         pairs = sent.select("a", "b")
         if not turn:
             small = met.where(F.col("total") <= SMALL).select("token", "gid", "pos").join(placed, "gid").select("token", "cls", "comp", F.col("n").cast("int").alias("n"), "pos")
             with batches_of(spark, 20_000):
                 small = stored(small_pairs(small.repartition(parts(spark), "token").sortWithinPartitions("token"), percent))
-            pairs = pairs.unionByName(plausible(small, members, percent))
+            pairs = pairs.unionByName(plausible(small, reps, percent))
         pairs = stored(pairs.distinct())
         if not pairs.isEmpty():
             more = verified(docs, members, pairs, size, percent)
@@ -450,7 +469,8 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             bridge = more.join(at, F.col("a") == F.col("cls_")).select("b", F.col("comp").alias("ca")).join(at, F.col("b") == F.col("cls_")).select(F.col("ca").alias("a"), F.col("comp").alias("b"))
             over = components(bridge).select(F.col("node").alias("comp_"), F.col("component").alias("top"))
             placed = stored(placed.join(over, F.col("comp") == F.col("comp_"), "left").select("cls", "gid", "n", F.coalesce("top", "comp").alias("comp")))
-        if sent.where("cut").isEmpty():
+        only = sent.where("cut").select("hub", "x", "y").distinct()
+        if only.isEmpty():
             break
     final = members.select("cls", "rep").join(placed.select(F.col("cls").alias("cls_"), "comp"), F.col("cls") == F.col("cls_")).select("cls", "rep", "comp")
     least = final.groupBy(F.col("comp").alias("comp_")).agg(F.min("rep").alias("component_id"))
