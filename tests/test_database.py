@@ -474,6 +474,22 @@ def test_partition_key_orders_files(make, spark):
     assert db["n"].query().where(P.eq("k", 5)).count() == 1
 
 
+def test_one_file_is_written_apart_from_the_join(make, spark, monkeypatch):
+    """A shuffle lies between the join with tombstones and the task that writes the file."""
+    db = make(TableSchema.of("n", spark.range(0).schema))
+    db["n"].append_df(spark.range(0, 200, 1, 4))
+    db["n"].query().where(P.lt("id", 150)).delete()
+    plans = []
+    write = type(spark.range(0)).write
+    monkeypatch.setattr(type(spark.range(0)), "write", property(lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write.fget(df)))
+    db.hard_delete()
+    monkeypatch.undo()
+    before, join, _ = plans[0].partition("Join")
+    assert join and "Exchange" in before and "Coalesce" not in before
+    assert [f.rows for f in db.manifest.snapshot().of("n")] == [50]
+    assert sorted(r.id for r in db["n"].query().df().collect()) == list(range(150, 200))
+
+
 def test_late_sort_cache_and_delta(make, spark):
     """O7 X19 S7"""
     db = make(TableSchema.of("n", spark.range(0).withColumn("v", F.lit("")).schema))
