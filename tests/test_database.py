@@ -490,6 +490,28 @@ def test_one_file_is_written_apart_from_the_join(make, spark, monkeypatch):
     assert sorted(r.id for r in db["n"].query().df().collect()) == list(range(150, 200))
 
 
+def test_statistics_of_files_are_taken_without_a_sort(make, spark, monkeypatch):
+    text = "if(id = 7, null, repeat(char(97 + id % 26), 1 + id % 90))"
+    rows = spark.range(0, 30000, 1, 3).selectExpr("id", "if(id % 9 = 0, null, concat('s', id * 7919 % 30011)) s", f"struct({text} as t, if(id = 29999, double('nan'), nullif(id / 2, 1D)) as x) u")
+    db = make(TableSchema.of("n", rows.schema))
+    frame, plans = type(rows), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: (collect(df), plans.append(df._jdf.queryExecution().executedPlan().toString()))[0])
+    db["n"].append_df(rows)
+    monkeypatch.undo()
+    assert "Aggregate" in plans[0] and "Sort" not in plans[0]
+    files = sorted(db.manifest.snapshot().of("n"), key=lambda f: f.first)
+    assert [f.rows for f in files] == [10000] * 3
+    for k, f in enumerate(files):
+        part = rows.where(f"id div 10000 = {k}").collect()
+        for leaf, values in {"id": [r.id for r in part], "s": [r.s for r in part], "u.t": [r.u.t for r in part], "u.x": [r.u.x for r in part]}.items():
+            some = [v for v in values if v is not None]
+            if k == 2 and leaf == "u.x":
+                assert leaf not in f.stats
+            else:
+                assert f.stats[leaf] == (min(some), max(some), len(values) - len(some), len(values))
+
+
 def test_late_sort_cache_and_delta(make, spark):
     """O7 X19 S7"""
     db = make(TableSchema.of("n", spark.range(0).withColumn("v", F.lit("")).schema))
