@@ -43,3 +43,14 @@ def test_awaited_life_cycle_with_a_file_over_half_the_target(spark, monkeypatch)
         assert got.select("due_before", "settled", "merged").distinct().collect() == [(True, True, True)]
         assert got.count() == catalog.read(spark, "/root/testdata/sf0.01", "orders").where("o_orderstatus <> 'F'").count()
         assert len(made[0].manifest.snapshot().of("orders")) == files
+
+
+@pytest.mark.parametrize("name", ["checkpoint_policy", "deletes_by_file"])
+def test_no_rows_are_sorted_for_statistics(spark, monkeypatch, name):
+    frame, plans = type(spark.range(0)), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: (collect(df), plans.append(df._jdf.queryExecution().executedPlan().toString()))[0])
+    QUERIES[name](spark, SF)
+    monkeypatch.undo()
+    taken = [p for p in plans if "file_name" in p]
+    assert taken and not any("SortAggregate" in p for p in taken)
