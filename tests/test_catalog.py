@@ -45,7 +45,7 @@ def test_awaited_life_cycle_with_a_file_over_half_the_target(spark, monkeypatch)
         assert len(made[0].manifest.snapshot().of("orders")) == files
 
 
-@pytest.mark.parametrize("name", ["checkpoint_policy", "deletes_by_file", "integrity", "partial_hard_delete", "query_audit"])
+@pytest.mark.parametrize("name", ["checkpoint_policy", "deletes_by_file", "integrity", "partial_hard_delete", "query_audit", "delta_only_scan"])
 def test_no_rows_are_sorted_for_statistics(spark, monkeypatch, name):
     frame, plans = type(spark.range(0)), []
     collect = frame.collect
