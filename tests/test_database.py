@@ -490,6 +490,22 @@ def test_one_file_is_written_apart_from_the_join(make, spark, monkeypatch):
     assert sorted(r.id for r in db["n"].query().df().collect()) == list(range(150, 200))
 
 
+def test_summary_is_grouped_apart_from_its_one_file(make, spark, monkeypatch):
+    rows = spark.range(0, 300, 1, 4).selectExpr("cast(id % 100 as int) k", "id")
+    db = make(TableSchema.of("n", rows.schema).with_trigger(summary_trigger("n", "sums", ["k"], "id")), TableSchema.of("sums", rows.selectExpr("k", "id total").schema))
+    db["n"].append_df(rows)
+    frame, plans = type(rows), []
+    write = frame.write
+    monkeypatch.setattr(frame, "write", property(lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write.fget(df)))
+    db["n"].append_df(rows.where("id < 50"))
+    monkeypatch.undo()
+    plan = next(p for p in plans if "Union" in p and "Aggregate" in p)
+    assert "Coalesce" not in plan and "Exchange SinglePartition, REPARTITION" in plan.partition("Aggregate")[0]
+    assert len(db.manifest.snapshot().of("sums")) == 2
+    want = {k: sum(i for i in range(300) if i % 100 == k) + (k if k < 50 else 0) for k in range(100)}
+    assert {r.k: r.total for r in db["sums"].query().df().collect()} == want
+
+
 def test_statistics_of_files_are_taken_without_a_sort(make, spark, monkeypatch):
     text = "if(id = 7, null, repeat(char(97 + id % 26), 1 + id % 90))"
     rows = spark.range(0, 30000, 1, 3).selectExpr("id", "if(id % 9 = 0, null, concat('s', id * 7919 % 30011)) s", f"struct({text} as t, if(id = 29999, double('nan'), nullif(id / 2, 1D)) as x) u")
